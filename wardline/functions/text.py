@@ -13,6 +13,10 @@ FIELD_SEPARATOR = " [SEP] "
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'))
 MIN_WORDS = 10
 
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"(?U)[\p{L}\p{N}]\S*+"
 
 
@@ -22,7 +26,7 @@ def _column(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Trim Unicode whitespace on both ends."""
-    return F.regexp_replace(_column(value), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_column(value), F.lit(WHITESPACE))
 
 
 def collapse(value: Column | str) -> Column:

@@ -60,10 +60,8 @@ def _placeholder_pattern() -> str:
     return r"(?U)^(?:\s*+(?:" + token + r")(?=\s|$))++\s*$"
 
 
-def narrative_check(narrative: Column) -> Column:
-    """First matching check id of the narrative cascade, null when the narrative is sound."""
-    text = strip(F.coalesce(narrative, F.lit("")))
-    low = F.lower(text)
+def narrative_check(text: Column, low: Column) -> Column:
+    """First matching check id for a trimmed narrative and its lower case, null when it is sound."""
     alnum, other = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
     stem = "^(?:" + "|".join(fixed.PLACEHOLDER_STEMS) + r")\s*\d*$"
     edges = "[" + re.escape(fixed.WORD_EDGES) + "]+"
@@ -103,14 +101,25 @@ NARRATIVE_MESSAGES = {
 
 def check_narrative(df: DataFrame, narrative: str, name: str = "narrative_check") -> DataFrame:
     """Adds the narrative check id and its severity."""
-    checked = df.withColumn(name, narrative_check(F.col(narrative)))
+    base = _with_texts(df, ReportColumns(narrative))
+    checked = once(base, **{name: narrative_check(F.col("_text"), F.col("_low"))}).drop(*TEXTS)
     severity = F.when(F.col(name) == "SHORT_NARRATIVE", "warning").when(F.col(name).isNotNull(), "critical")
     return checked.withColumn(f"{name}_severity", severity)
 
 
+TEXTS = ("_text", "_low", "_told")
+
+
+def _with_texts(df: DataFrame, cols: ReportColumns) -> DataFrame:
+    """Trimmed narrative, its lower case and the lower-cased composite text, each computed once."""
+    text = strip(cols.text("narrative"))
+    told = text if cols.composite is None else strip(cols.text("composite"))
+    return once(df, _text=text, _low=F.lower(text), _told=F.lower(told))
+
+
 def field_findings(cols: ReportColumns, domains: Mapping[str, Sequence[str]] | None = None) -> list[Column]:
     """Missing activity, placeholder location, values outside a closed list."""
-    told = strip(cols.text("narrative")) != ""
+    told = F.col("_text") != ""
     no_activity = strip(cols.text("activity")) == ""
     place = cols.text("location")
     found = [
@@ -137,7 +146,7 @@ def field_findings(cols: ReportColumns, domains: Mapping[str, Sequence[str]] | N
 
 def conflict_findings(cols: ReportColumns) -> list[Column]:
     """Structured fields against each other and against the narrative."""
-    text = F.lower(strip(cols.text("composite" if cols.composite else "narrative")))
+    text = F.col("_told")
     part, injury = F.lower(strip(cols.text("body_part"))), F.lower(strip(cols.text("injury_type")))
     raw_part, raw_injury = cols.text("body_part"), cols.text("injury_type")
     severity = F.lower(strip(cols.text("severity")))
@@ -226,12 +235,16 @@ def _compact(found: Sequence[Column]) -> Column:
     return F.array_compact(F.array(*found)).cast(f"array<{FINDING}>")
 
 
+def _add(df: DataFrame, cols: ReportColumns, name: str, found: Sequence[Column]) -> DataFrame:
+    return once(_with_texts(df, cols), **{name: _compact(found)}).drop(*TEXTS)
+
+
 def check_fields(df: DataFrame, cols: ReportColumns, domains: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    return df.withColumn("field_findings", _compact(field_findings(cols, domains)))
+    return _add(df, cols, "field_findings", field_findings(cols, domains))
 
 
 def check_conflicts(df: DataFrame, cols: ReportColumns) -> DataFrame:
-    return df.withColumn("conflict_findings", _compact(conflict_findings(cols)))
+    return _add(df, cols, "conflict_findings", conflict_findings(cols))
 
 
 def check_dates(df: DataFrame, cols: ReportColumns, as_of: Column) -> DataFrame:
@@ -247,19 +260,21 @@ def quality_gate(
 ) -> DataFrame:
     """Adds ``findings``, ``quality_status``, ``quality_score``, ``accepted`` and ``missing_fields``."""
     as_of = F.current_date() if as_of is None else as_of
-    checked = check_narrative(df, cols.narrative, "_check")
+    base = _with_texts(df, cols)
+    checked = once(base, _check=narrative_check(F.col("_text"), F.col("_low")))
+    level = F.when(F.col("_check") == "SHORT_NARRATIVE", "warning").when(F.col("_check").isNotNull(), "critical")
     message = F.coalesce(*[F.when(F.col("_check") == c, F.lit(m)) for c, m in NARRATIVE_MESSAGES.items()])
     text = cols.text("narrative")
     proof = (
         F.when(F.col("_check") == "MISSING_NARRATIVE", F.array().cast("array<string>"))
-        .when(F.col("_check") == "UNSUPPORTED_ENCODING", F.array(F.substring(strip(text), 1, 60)))
+        .when(F.col("_check") == "UNSUPPORTED_ENCODING", F.array(F.substring("_text", 1, 60)))
         .otherwise(F.array(text))
     )
     narrative = F.when(
         F.col("_check").isNotNull(),
         F.struct(
             F.col("_check").alias("check_id"),
-            F.col("_check_severity").alias("severity"),
+            level.alias("severity"),
             F.array(F.lit("description")).alias("fields"),
             message.alias("message"),
             proof.alias("evidence"),
@@ -287,7 +302,7 @@ def quality_gate(
             .when(F.col("quality_status") == "WARNING", 0.75)
             .otherwise(1.0),
         }
-    ).drop("_check", "_check_severity")
+    ).drop("_check", *TEXTS)
 
 
 def split_by_gate(gated: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:

@@ -166,13 +166,13 @@ def _(t):
 
 
 C7 = f"""with {SCORED} select incident_id, site from scored
-  where (contains(lower(text), 'ou') or contains(lower(site), 'ou')) and """
+  where (contains(lower(text), 'a') or contains(lower(site), 'a')) and """
 
 
 @query("c7_workspace_no_rule", C7 + "not predicted and not sparse and incident_id not in (select user_id from events)")
 def _(t):
     return f.filter_incidents(
-        t.incidents(), text="OU", text_cols=["narrative", "site"], rule="no_rule", tags=doc_tags(t),
+        t.incidents(), text="A", text_cols=["narrative", "site"], rule="no_rule", tags=doc_tags(t),
         predictions=t.predictions(), psif="not_psif",
     ).select("incident_id", "site")
 
@@ -180,7 +180,7 @@ def _(t):
 @query("c7_workspace_sparse", C7 + "sparse")
 def _(t):
     return f.filter_incidents(
-        t.incidents(), text="ou", text_cols=["narrative", "site"], predictions=t.predictions(), psif="sparse"
+        t.incidents(), text="a", text_cols=["narrative", "site"], predictions=t.predictions(), psif="sparse"
     ).select("incident_id", "site")
 
 
