@@ -72,7 +72,7 @@ def lookup_key(value: Column | str) -> Column:
 
 def any_of(patterns: Sequence[str]) -> str:
     """One case-insensitive Java pattern for a list of alternatives."""
-    return "(?i)(?:" + "|".join(patterns) + ")"
+    return "(?iU)(?:" + "|".join(patterns) + ")"
 
 
 def matches(value: Column | str, patterns: Sequence[str]) -> Column:
@@ -103,7 +103,7 @@ def line_pattern(patterns: Sequence[str]) -> str:
     not reach over the line end.
     """
     body = "|".join(re.sub(r"\\s\*", " ?", re.sub(r"\\s\+", " ", p)).replace(r"\s", " ") for p in patterns)
-    return r"(?im)^.*?(?:" + body + r").*$"
+    return r"(?imU)^.*?(?:" + body + r").*$"
 
 
 def _shorten(span: Column, width: int) -> Column:
