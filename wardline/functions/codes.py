@@ -73,3 +73,9 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     safe = F.when(whole > 0, whole)
     scaled = F.call_function("div", part.cast("long") * F.lit(2 * scale) + safe, safe * F.lit(2))
     return F.coalesce(scaled.cast("double") / F.lit(float(scale)), F.lit(0.0))
+
+
+def rounded(value: Column, digits: int = 4) -> Column:
+    """Half-up rounding of a double by scaling, the same in every engine."""
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5) / F.lit(scale)

@@ -164,17 +164,17 @@ KEYWORDS = {
     "Beta": (r"que", r"ent[a-z]*", r"la"),
     "Gamma": (r"of the", r"er(?:es|ing)?", r"st[a-z]*"),
 }
-KEYWORD_SQL = values_sql([(r, k) for r, ks in KEYWORDS.items() for k in ks])
 EDGE = r"[^\pL\pM\p{Nd}\p{Nl}\p{Pc}]"
 
 
 @query(
     "e8_tag_rules",
-    f"""with kw(rule, k) as (values {KEYWORD_SQL}),
-    d as (select doc_id, regexp_replace(text, '({EDGE})', '\\1\\1', 'g') as t from documents),
-    m as (select doc_id, rule, unnest(regexp_extract_all(t, '(?i)(?:^|{EDGE})(' || replace(k, ' ', '  ') || ')(?:{EDGE}|$)', 1)) as w
-      from d, kw),
-    u as (select distinct doc_id, rule, replace(lower(w), '  ', ' ') as w from m)
+    f"""with d as materialized (select doc_id, lower(text) as low,
+      list_distinct(regexp_split_to_array(lower(text), '{EDGE}+')) as ws from documents),
+    w as (select doc_id, unnest(ws) as w from d),
+    u as ({" union ".join(f"select doc_id, '{r}' as rule, w from w where regexp_full_match(w, '{k}')"
+                           for r, ks in KEYWORDS.items() for k in ks if " " not in k)}
+      union select doc_id, 'Gamma', 'of the' from d where regexp_matches(low, '(?:^|{EDGE})of the(?:{EDGE}|$)'))
     select doc_id, rule, string_agg(w, ',' order by w) as keywords, 'narrative' as fields from u group by 1, 2""",
 )
 def _(t):
