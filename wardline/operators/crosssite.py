@@ -176,7 +176,9 @@ def recurring(
     ).filter(F.col("occurrences") >= min_count)
     if limit:
         counts = counts.orderBy(F.col("occurrences").desc(), *[F.col(k).asc() for k in keys]).limit(limit)
-    return counts.join(sample_ids(per_id, keys, id_col, samples), list(keys), "left")
+    # ids are ranked only for the groups that are kept
+    kept = per_id.join(counts.select(*keys), list(keys), "left_semi")
+    return counts.join(sample_ids(kept, keys, id_col, samples), list(keys), "left")
 
 
 def multi_site(
