@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.patterns import guard_text, may_match
+from wardline.plans.scale import once
+
 # Separator between narrative fields, entities decoded in this order, word limit.
 FIELD_SEPARATOR = " [SEP] "
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'))
@@ -89,34 +92,59 @@ def contains_any(lowered: Column | str, words: Sequence[str]) -> Column:
     return result
 
 
-def sentence_lines(value: Column | str) -> Column:
-    """Text with one sentence per line: breaks at ``. newline ; !``, blanks collapsed inside."""
-    text = F.regexp_replace(F.coalesce(_column(value), F.lit("")), r"[.\n;!]+", "\n")
-    text = F.regexp_replace(text, r"(?U)[\s&&[^\n]]+", " ")
-    return F.regexp_replace(text, r" ?\n ?|^ | $", "\n")
+RARE_BLANKS = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def line_pattern(patterns: Sequence[str]) -> str:
-    """Pattern for the first whole line of ``sentence_lines`` holding a match.
+def add_lines(df: DataFrame, text: Column | str, name: str = "_lines", low: str = "_guard") -> DataFrame:
+    """Adds the text with one sentence per line, and its lower case for literal guards.
 
-    Inside a line every run of whitespace is one blank, so ``\\s`` is written as a blank and can
-    not reach over the line end.
+    Sentences end at ``. newline ; !``; inside a line every run of whitespace is one blank. Plain
+    byte replacements do the work, patterns run only on the texts that need them.
     """
-    body = "|".join(re.sub(r"\\s\*", " ?", re.sub(r"\\s\+", " ", p)).replace(r"\s", " ") for p in patterns)
-    return r"(?imU)^.*?(?:" + body + r").*$"
+    raw = F.coalesce(_column(text), F.lit(""))
+    for mark, plain in ((".", "\n"), (";", "\n"), ("!", "\n"), ("\t", " "), ("\r", " ")):
+        raw = F.replace(raw, F.lit(mark), F.lit(plain))
+    out = once(df, _raw=raw)
+    odd = F.when(F.col("_raw").rlike(RARE_BLANKS), F.regexp_replace("_raw", RARE_BLANKS, " ")).otherwise(F.col("_raw"))
+    out = once(out, _odd=odd).drop("_raw")
+    tight = F.when(F.col("_odd").contains("  "), F.regexp_replace("_odd", " {2,}", " ")).otherwise(F.col("_odd"))
+    out = once(out, **{name: tight}).drop("_odd")
+    return once(out, **{low: guard_text(F.col(name))})
+
+
+def in_lines(patterns: Sequence[str]) -> list[str]:
+    """The patterns for one-blank lines: whitespace is a blank and can not reach over a line end."""
+    return [re.sub(r"\\s\*", " ?", re.sub(r"\\s\+", " ", p)).replace(r"\s", " ") for p in patterns]
+
+
+def line_match(lines: Column | str, patterns: Sequence[str], low: Column | str | None = None) -> Column:
+    """Some line matches any pattern. ``low`` (see ``add_lines``) rules most texts out by byte search."""
+    body = in_lines(patterns)
+    hit = _column(lines).rlike("(?imU)(?:" + "|".join(body) + ")")
+    guard = None if low is None else may_match(_column(low), body)
+    return hit if guard is None else F.when(guard, hit).otherwise(F.lit(False))
 
 
 def _shorten(span: Column, width: int) -> Column:
     return F.when(F.length(span) > width, F.concat(F.substring(span, 1, width - 3), F.lit("..."))).otherwise(span)
 
 
-def first_span(lines: Column | str, patterns: Sequence[str], width: int = 140) -> Column:
+def _whole_line(patterns: Sequence[str]) -> str:
+    return r"(?imU)^.*?(?:" + "|".join(in_lines(patterns)) + r").*$"
+
+
+def first_span(
+    lines: Column | str, patterns: Sequence[str], width: int = 140, low: Column | str | None = None
+) -> Column:
     """First sentence that matches any pattern, shortened to ``width``; null if none does."""
-    span = F.nullif(F.regexp_extract(_column(lines), line_pattern(patterns), 0), F.lit(""))
-    return _shorten(span, width)
+    span = F.trim(F.regexp_extract(_column(lines), _whole_line(patterns), 0))
+    return F.when(line_match(lines, patterns, low), _shorten(span, width))
 
 
-def spans(lines: Column | str, patterns: Sequence[str], n: int = 3, width: int = 120) -> Column:
+def spans(
+    lines: Column | str, patterns: Sequence[str], n: int = 3, width: int = 120, low: Column | str | None = None
+) -> Column:
     """Up to ``n`` different matching sentences in text order."""
-    found = F.regexp_extract_all(_column(lines), F.lit(line_pattern(patterns)), 0)
-    return F.slice(F.array_distinct(F.transform(found, lambda s: _shorten(s, width))), 1, n)
+    found = F.regexp_extract_all(_column(lines), F.lit(_whole_line(patterns)), 0)
+    listed = F.slice(F.array_distinct(F.transform(found, lambda s: _shorten(F.trim(s), width))), 1, n)
+    return F.when(line_match(lines, patterns, low), listed).otherwise(F.array().cast("array<string>"))

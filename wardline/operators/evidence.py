@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.text import contains_any, first_span
-from wardline.operators.reasoning import line_match
+from wardline.functions.text import contains_any, first_span, line_match
 from wardline.plans.scale import once
 
 # Fixed values.
@@ -61,15 +60,15 @@ def evidence_chain(
 ) -> DataFrame:
     """Adds the state of the five links, counts per state and the named breaks.
 
-    Needs ``_lines`` and ``is_sparse`` from ``reasoning.prepare``. States are SUPPORTED, PARTIAL,
+    Needs ``_lines``, ``_guard`` and ``is_sparse`` from ``reasoning.prepare``. States are SUPPORTED, PARTIAL,
     UNCERTAIN and MISSING.
     """
     lines, sparse = F.col("_lines"), F.col("is_sparse")
     flat = lambda sets: [p for group in sets.values() for p in group]
     df = once(
-        df, _energy=line_match(lines, flat(patterns.energy)), _exp=line_match(lines, patterns.exposure),
-        _noexp=line_match(lines, patterns.no_exposure), _fail=line_match(lines, patterns.failure),
-        _eff=line_match(lines, patterns.effective), _mech=line_match(lines, flat(patterns.mechanisms)),
+        df, _energy=line_match(lines, flat(patterns.energy), "_guard"), _exp=line_match(lines, patterns.exposure, "_guard"),
+        _noexp=line_match(lines, patterns.no_exposure, "_guard"), _fail=line_match(lines, patterns.failure, "_guard"),
+        _eff=line_match(lines, patterns.effective, "_guard"), _mech=line_match(lines, flat(patterns.mechanisms), "_guard"),
     )
     text = lambda c: F.coalesce(c, F.lit(""))
     structured = (text(high_energy) == "yes") | ~text(energy_type).isin("unknown", "", "none", "other")
@@ -178,9 +177,9 @@ def barrier_linkage(
     failed: Column,
     predicted: Column,
 ) -> DataFrame:
-    """Adds ``linkage``, ``linkage_evidence`` and ``pathway_role``; needs ``_lines``."""
+    """Adds ``linkage``, ``linkage_evidence`` and ``pathway_role``; needs ``_lines`` and ``_guard``."""
     lines = F.col("_lines")
-    df = once(df, _eff=first_span(lines, effective), _fail=first_span(lines, compromised))
+    df = once(df, _eff=first_span(lines, effective, low="_guard"), _fail=first_span(lines, compromised, low="_guard"))
     low = F.lower(F.coalesce(condition, F.lit("")))
     broken = F.coalesce(failed, F.lit(False)) | low.isin("failed", "bypassed", "absent")
     held = low.contains("effective") | (low == "held")

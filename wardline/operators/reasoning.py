@@ -4,14 +4,14 @@ with the model score. Every step adds columns; no step shuffles.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.text import contains_any, first_span, is_sparse, sentence_lines, strip
+from wardline.functions.patterns import may_match
+from wardline.functions.text import add_lines, contains_any, first_span, is_sparse, line_match, strip
 from wardline.plans.scale import once
 from wardline.rules import reasoning as fixed
 from wardline.rules.reasoning import RuleBook
@@ -40,16 +40,10 @@ class ReasoningColumns:
         return F.lit(False) if column is None else F.coalesce(F.col(column), F.lit(False))
 
 
-def line_match(lines: Column, patterns: Sequence[str]) -> Column:
-    """Some sentence matches; the same test as ``first_span`` without extracting it."""
-    body = "|".join(re.sub(r"\\s\*", " ?", re.sub(r"\\s\+", " ", p)).replace(r"\s", " ") for p in patterns)
-    return lines.rlike(f"(?imU)(?:{body})")
-
-
 def prepare(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     """Adds the sentence lines, lower-cased narrative and sparse flag the steps share."""
     text = F.coalesce(F.col(cols.narrative), F.lit(""))
-    return once(df, _lines=sentence_lines(text), _low=F.lower(text), is_sparse=is_sparse(text))
+    return add_lines(once(df, _low=F.lower(text), is_sparse=is_sparse(text)), text)
 
 
 def detect_hazards(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
@@ -58,7 +52,7 @@ def detect_hazards(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     Structured energy comes first, then the job task, then the narrative families in order.
     """
     lines, book = F.col("_lines"), cols.book
-    hits = F.array_compact(F.array(*[F.when(line_match(lines, p), F.lit(h)) for h, p in book.hazards.items()]))
+    hits = F.array_compact(F.array(*[F.when(line_match(lines, p, "_guard"), F.lit(h)) for h, p in book.hazards.items()]))
     energy = F.replace(cols.low("energy_type"), F.lit("_"), F.lit(" "))
     by_energy = F.coalesce(
         *[F.when(energy.contains(word), F.lit(h)) for word, h in fixed.ENERGY_HAZARDS], F.lit(fixed.ENERGY_DEFAULT)
@@ -81,7 +75,7 @@ def detect_hazards(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
                                       .otherwise(F.array().cast("array<string>")), F.col("_hits")))
         ),
     })
-    span = F.coalesce(*[F.when(F.col("hazard") == h, first_span(lines, p)) for h, p in book.hazards.items()])
+    span = F.coalesce(*[F.when(F.col("hazard") == h, first_span(lines, p, low="_guard")) for h, p in book.hazards.items()])
     text = F.when(F.col("_energy").isNotNull(), F.concat(F.lit("Structured energy: "), energy)).when(
         F.col("_task").isNotNull(), F.concat(F.lit("Structured job task: "), task)
     ).otherwise(span)
@@ -92,8 +86,8 @@ def exposure_state(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     """Adds ``exposure_state``, ``exposure_span``: interrupted, safe, direct, injury-implied, sparse, potential."""
     lines, book = F.col("_lines"), cols.book
     df = once(
-        df, _interrupted=first_span(lines, book.interrupted), _safe=first_span(lines, book.safe),
-        _direct=first_span(lines, book.direct),
+        df, _interrupted=first_span(lines, book.interrupted, low="_guard"), _safe=first_span(lines, book.safe, low="_guard"),
+        _direct=first_span(lines, book.direct, low="_guard"),
     )
     injured = ~cols.low("injury_type").isin(*fixed.NO_INJURY) | ~cols.low("body_part").isin(*fixed.NO_INJURY)
     safe, direct = F.lower("_safe"), F.lower("_direct")
@@ -123,9 +117,9 @@ def control_state(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     """
     lines, book = F.col("_lines"), cols.book
     df = once(
-        df, _eff=first_span(lines, book.effective), _fail=first_span(lines, book.compromised),
-        _ppe=line_match(lines, book.ppe), _after=line_match(lines, book.restored_after),
-        _rec=line_match(lines, book.recommended), _plan=line_match(lines, book.planned),
+        df, _eff=first_span(lines, book.effective, low="_guard"), _fail=first_span(lines, book.compromised, low="_guard"),
+        _ppe=line_match(lines, book.ppe, "_guard"), _after=line_match(lines, book.restored_after, "_guard"),
+        _rec=line_match(lines, book.recommended, "_guard"), _plan=line_match(lines, book.planned, "_guard"),
     )
     condition, kind, failed = cols.low("control_condition"), cols.low("control_type"), cols.flag("control_failed")
     eff, fail, low = F.col("_eff").isNotNull(), F.col("_fail").isNotNull(), F.lower("_fail")
@@ -175,9 +169,13 @@ def control_state(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
 def contradictions(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     """Adds ``contradiction`` (first pair of claims that exclude each other); it voids an effective control."""
     low = F.col("_low")
-    first = F.coalesce(*[
-        F.when(low.rlike(f"(?U){a}") & low.rlike(f"(?U){b}"), F.lit(name)) for name, a, b in cols.book.contradictions
-    ])
+
+    def holds(pattern: str) -> Column:
+        guard = may_match(low, [pattern])
+        hit = low.rlike(f"(?U){pattern}")
+        return hit if guard is None else F.when(guard, hit).otherwise(F.lit(False))
+
+    first = F.coalesce(*[F.when(holds(a) & holds(b), F.lit(name)) for name, a, b in cols.book.contradictions])
     df = once(df, contradiction=first)
     voided = F.col("contradiction").isNotNull() & (F.col("control_state") == "EFFECTIVE")
     return df.withColumn("control_state", F.when(voided, "FAILED").otherwise(F.col("control_state")))
@@ -186,7 +184,7 @@ def contradictions(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
 def consequence(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     """Adds ``mechanism`` (first family) and ``consequence_state``."""
     lines = F.col("_lines")
-    mechanism = F.coalesce(*[F.when(line_match(lines, p), F.lit(m)) for m, p in cols.book.mechanisms.items()])
+    mechanism = F.coalesce(*[F.when(line_match(lines, p, "_guard"), F.lit(m)) for m, p in cols.book.mechanisms.items()])
     exposure, control = F.col("exposure_state"), F.col("control_state")
     state = (
         F.when(F.col("contradiction").isNotNull(), "UNKNOWN")
@@ -267,7 +265,7 @@ def assess(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
         detect_hazards, exposure_state, control_state, contradictions, consequence, evidence_strength, decide,
     ):
         df = step(df, cols)
-    return df.drop("_lines", "_low")
+    return df.drop("_lines", "_low", "_guard")
 
 
 def reconcile(

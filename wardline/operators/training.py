@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
@@ -319,28 +318,30 @@ def baselines(
     """
     rows = encode_inputs(df.filter(F.col(label).isin(0, 1)), [], categories).withColumn("label", F.col(label).cast("double"))
     rows = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    structured = encoder([], categories)
-    words = text_stages("_text", features=features)
     both = VectorAssembler(inputCols=["text_features", "structured"], outputCol="combined")
-    lr = lambda column: LogisticRegression(featuresCol=column, weightCol="weight", maxIter=max_iter)
+    prepare = Pipeline(stages=[*text_stages("_text", features=features), encoder([], categories), both])
+    logistic = lambda column: LogisticRegression(featuresCol=column, weightCol="weight", maxIter=max_iter)
     models = {
-        "text_logistic": [*words, lr("text_features")],
-        "text_svm": [*words, LinearSVC(featuresCol="text_features", weightCol="weight", maxIter=max_iter)],
-        "structured_logistic": [structured, lr("structured")],
-        "combined_logistic": [*words, structured, both, lr("combined")],
+        "text_logistic": logistic("text_features"),
+        "text_svm": LinearSVC(featuresCol="text_features", weightCol="weight", maxIter=max_iter),
+        "structured_logistic": logistic("structured"),
+        "combined_logistic": logistic("combined"),
     }
     out = None
-    for (name, stages), kind in product(models.items(), ("random", "grouped")):
+    for kind in ("random", "grouped"):
         parts = split(rows, id_col, 0.2, seed, group if kind == "grouped" else None)
-        model = Pipeline(stages=stages).fit(class_weight(parts.filter("part = 'train'")))
-        tested = model.transform(parts.filter("part = 'test'"))
-        # the margin of the linear model is a score whose cut is 0
-        margin = name == "text_svm"
-        value = vector_to_array("rawPrediction" if margin else "probability").getItem(1)
-        scored = tested.select(value.alias("score"), (F.col("label") == 1).alias("y"))
-        line = ranking_metrics(scored, "score", "y", 0.0 if margin else 0.5)
-        line = line.withColumns({"split": F.lit(kind), "model": F.lit(name)})
-        out = line if out is None else out.unionByName(line)
+        fitted = prepare.fit(parts.filter("part = 'train'"))
+        ready = fitted.transform(parts).select("label", "part", "text_features", "structured", "combined").persist()
+        train = class_weight(ready.filter("part = 'train'")).persist()
+        for name, classifier in models.items():
+            tested = classifier.fit(train).transform(ready.filter("part = 'test'"))
+            # the margin of the linear model is a score whose cut is 0
+            margin = name == "text_svm"
+            value = vector_to_array("rawPrediction" if margin else "probability").getItem(1)
+            scored = tested.select(value.alias("score"), (F.col("label") == 1).alias("y"))
+            line = ranking_metrics(scored, "score", "y", 0.0 if margin else 0.5)
+            line = line.withColumns({"split": F.lit(kind), "model": F.lit(name)})
+            out = line if out is None else out.unionByName(line)
     return out
 
 

@@ -235,8 +235,8 @@ def _(t):
 @query("e15_first_span", f"""with l as materialized (select doc_id, {lines_sql('text')} as l from documents)
   select doc_id, {span_sql('l', 'tion[a-z]+ the|ent [a-z]+ la')} as span from l""")
 def _(t):
-    lines = g.with_lines(t.documents, "text")
-    return lines.select("doc_id", tx.first_span("_lines", [r"tion[a-z]+\s+the", r"ent\s+[a-z]+\s+la"]).alias("span"))
+    lines = tx.add_lines(t.documents, "text")
+    return lines.select("doc_id", tx.first_span("_lines", [r"tion[a-z]+\s+the", r"ent\s+[a-z]+\s+la"], low="_guard").alias("span"))
 
 
 @query(
@@ -251,8 +251,8 @@ def _(t):
     group by 1""",
 )
 def _(t):
-    lines = g.with_lines(t.documents, "text")
-    return lines.select("doc_id", F.array_join(tx.spans("_lines", ["tion", "que"], 3), "|").alias("spans"))
+    lines = tx.add_lines(t.documents, "text")
+    return lines.select("doc_id", F.array_join(tx.spans("_lines", ["tion", "que"], 3, low="_guard"), "|").alias("spans"))
 
 
 PREC = {"P1": ("HIGH", ("tion", "er in", "the th")), "P2": ("CRITICAL", ("eau", "que le")), "P3": ("HIGH", ("zzzz",))}

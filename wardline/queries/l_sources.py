@@ -39,7 +39,7 @@ FLAT = "replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), chr(0), '')"
       where n % 50 <> 0""",
 )
 def _(t):
-    rows = r.good_rows(r.read_csv(t.spark, csv_file(t), ["conv_id", "turn", "role", "text"]))
+    rows = r.good_rows(r.read_csv(t.spark, csv_file(t), ["conv_id", "turn", "role", "text"], header=False))
     return rows.withColumn("text", F.md5("text"))
 
 
@@ -48,7 +48,7 @@ def _(t):
     "select count(*) as records, count(*) filter ((conv_id * 100 + turn) % 50 = 0) as bad, 0::bigint as empty from conversations",
 )
 def _(t):
-    return r.bad_count(r.read_csv(t.spark, csv_file(t), ["conv_id", "turn", "role", "text"]))
+    return r.bad_count(r.read_csv(t.spark, csv_file(t), ["conv_id", "turn", "role", "text"], header=False))
 
 
 @query(

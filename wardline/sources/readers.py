@@ -26,7 +26,7 @@ def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
 
 def read_csv(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str = "UTF-8", sep: str = ",",
-    multiline: bool = False,
+    multiline: bool = False, header: bool = True,
 ) -> DataFrame:
     """CSV rows as strings plus the bad-record column; see ``good_rows``.
 
@@ -36,7 +36,7 @@ def read_csv(
     names = list(columns or csv_header(spark, path, encoding, sep))
     schema = _strings(names).add(BAD, T.StringType())
     reader = spark.read.schema(schema).options(
-        header=True, encoding=encoding, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True,
+        header=header, encoding=encoding, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True,
         multiLine=multiline, escape='"',
     )
     rows = reader.csv(path)
@@ -45,18 +45,36 @@ def read_csv(
     return rows.withColumn(BAD, F.when(too_many, F.col(BAD)))
 
 
+def _objects(rows: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
+    """JSON texts to string columns; anything but a sound object goes to the bad-record column."""
+    schema = _strings(columns).add(BAD, T.StringType())
+    parsed = F.from_json(F.col(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    out = rows.select(text, parsed.alias("_o"))
+    broken = F.when(~F.col(text).rlike(r"^\s*\{") | F.col(f"_o.{BAD}").isNotNull(), F.col(text))
+    return out.select(*[F.col("_o").getField(c).alias(c) for c in columns], broken.alias(BAD))
+
+
+def _fields(rows: DataFrame, text: str) -> list[str]:
+    """Field names of the objects: one pass, a row per different name."""
+    keys = rows.select(F.explode(F.json_object_keys(text)).alias("k")).distinct().orderBy("k")
+    return [r[0] for r in keys.collect()]
+
+
 def read_json(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, lines: bool = False
 ) -> DataFrame:
     """Objects of JSON array files (or of JSON lines) with every value as text, plus the bad-record column.
 
-    Without ``columns`` the fields are found by one extra pass over the files.
+    An array element that is no object is a bad record and does not harm its neighbours. Array files
+    are read whole, one per task; lines split. Without ``columns`` the fields take one more pass.
     """
-    reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, multiLine=not lines, primitivesAsString=True)
-    if columns is None:
-        found = [c for c in reader.json(path).columns if c != BAD]
-        columns = found
-    return reader.schema(_strings(columns).add(BAD, T.StringType())).json(path)
+    if lines:
+        rows = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("_t"))
+    else:
+        whole = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value"))
+        elements = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
+        rows = whole.select(F.explode(F.coalesce(elements, F.array("value"))).alias("_t"))
+    return _objects(rows, "_t", columns or _fields(rows, "_t"))
 
 
 def read_reports(

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from wardline.functions.text import is_sparse
 
 
+SMALL_BYTES = 256 * 1024 * 1024
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
 class Tables:
     """Parquet tables of one folder, read lazily with only the columns a query uses."""
 
@@ -18,7 +22,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXT_KEYS and self._bytes(name) < SMALL_BYTES:
+            # one small file is one task; texts are worth spreading over the cores
+            return rows.repartition(self.spark.sparkContext.defaultParallelism, *TEXT_KEYS[name])
+        return rows
+
+    def _bytes(self, name: str) -> int:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        return path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
     def incidents(self) -> DataFrame:
         """Documents as incident reports: narrative, site, activity."""

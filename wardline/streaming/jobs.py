@@ -100,7 +100,8 @@ def recurrence_alerts(
 
     Repeated ids inside the lateness bound are dropped first, as streams can not count distinct.
     """
-    once = stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([id_col])
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    once = timed.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([id_col])
     counted = once.groupBy(F.window(event_time, length, slide), *keys).agg(
         F.count(F.lit(1)).alias("incidents"), F.min(event_time).alias("first_seen"), F.max(event_time).alias("last_seen")
     )
