@@ -162,7 +162,7 @@ def recurring(
     limit: int | None = 50,
     id_col: str = "incident_id",
     created: str | None = None,
-    samples: int = 20,
+    samples: int | None = 20,
 ) -> DataFrame:
     """Key combinations of at least ``min_count`` incidents in the window, with first and last day and
     sample ids; the ``limit`` most frequent, or all of them.
@@ -176,6 +176,8 @@ def recurring(
     ).filter(F.col("occurrences") >= min_count)
     if limit:
         counts = counts.orderBy(F.col("occurrences").desc(), *[F.col(k).asc() for k in keys]).limit(limit)
+    if not samples:
+        return counts
     # ids are ranked only for the groups that are kept
     kept = per_id.join(counts.select(*keys), list(keys), "left_semi")
     return counts.join(sample_ids(kept, keys, id_col, samples), list(keys), "left")

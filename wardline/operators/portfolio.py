@@ -108,15 +108,18 @@ def _with_all_rules(counts: DataFrame, rules: Sequence[str] | None, numbers: Seq
 
 
 def _rule_counts(tags: DataFrame, df: DataFrame, id_col: str, site: str) -> DataFrame:
-    pairs = _tagged(tags, df, id_col, [site, "predicted", "sparse"])
-    sites = pairs.filter(non_blank(site)).select("rule", site).distinct().groupBy("rule").agg(
-        F.count(F.lit(1)).alias("affected_sites")
-    )
-    counts = pairs.groupBy("rule").agg(
+    return _by_site(_tagged(tags, df, id_col, [site, "predicted", "sparse"]), ["rule"], site)
+
+
+def _by_site(pairs: DataFrame, keys: Sequence[str], site: str) -> DataFrame:
+    """Counts per key through counts per (key, site): a hot key is spread over its sites."""
+    per_site = pairs.groupBy(*keys, site).agg(
         F.count(F.lit(1)).alias("matched"), F.count_if(_linked()).alias("psif_linked")
     )
-    return counts.join(sites, "rule", "left").select(
-        "rule", "matched", "psif_linked", F.coalesce("affected_sites", F.lit(0).cast("long")).alias("affected_sites")
+    zero = F.lit(0).cast("long")
+    return per_site.groupBy(*keys).agg(
+        F.coalesce(F.sum("matched"), zero).alias("matched"), F.coalesce(F.sum("psif_linked"), zero).alias("psif_linked"),
+        F.count_if(non_blank(site)).alias("affected_sites"),
     )
 
 
@@ -131,13 +134,7 @@ def rule_metrics(
     numbers = ["matched", "psif_linked", "affected_sites"]
     matched = _with_all_rules(_rule_counts(tags, df, id_col, site), rules, numbers)
     rest = df.join(tags.select(id_col), id_col, "left_anti")
-    unmatched = rest.groupBy(site).agg(
-        F.count(F.lit(1)).alias("matched"), F.count_if(_linked()).alias("psif_linked")
-    ).agg(
-        F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum("psif_linked"), F.lit(0)).alias("psif_linked"),
-        F.count_if(non_blank(site)).alias("affected_sites"),
-    ).select(F.lit(NO_RULE_ROW).alias("rule"), *numbers)
+    unmatched = _by_site(rest, [], site).select(F.lit(NO_RULE_ROW).alias("rule"), *numbers)
     return _linkage(matched.unionByName(unmatched))
 
 
@@ -146,15 +143,11 @@ def barrier_portfolio(
 ) -> DataFrame:
     """Per rule the counts of ``rule_metrics``, and one fleet row of distinct incidents (a union, not a sum)."""
     numbers = ["matched", "psif_linked", "affected_sites"]
-    per_rule = _with_all_rules(_rule_counts(tags, df, id_col, site), rules, numbers)
-    any_rule = df.join(tags.select(id_col), id_col, "left_semi")
-    fleet = any_rule.groupBy(site).agg(
-        F.count(F.lit(1)).alias("matched"), F.count_if(_linked()).alias("psif_linked")
-    ).agg(
-        F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum("psif_linked"), F.lit(0)).alias("psif_linked"),
-        F.count_if(non_blank(site)).alias("affected_sites"),
-    ).select(F.lit("ALL").alias("rule"), *numbers)
+    pairs = _tagged(tags, df, id_col, [site, "predicted", "sparse"])
+    per_rule = _with_all_rules(_by_site(pairs, ["rule"], site), rules, numbers)
+    # the join left the pairs partitioned by incident, so this distinct needs no shuffle of its own
+    incidents = pairs.select(id_col, site, "predicted", "sparse").distinct()
+    fleet = _by_site(incidents, [], site).select(F.lit("ALL").alias("rule"), *numbers)
     return _linkage(per_rule.unionByName(fleet))
 
 

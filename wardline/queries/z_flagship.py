@@ -6,6 +6,7 @@ from wardline.functions.text import compose_text, is_sparse
 from wardline.operators.crosssite import recurring
 from wardline.operators.quality import ReportColumns, quality_gate
 from wardline.operators.tagging import tag_rules
+from wardline.plans.scale import once
 from wardline.queries.c_quality import CHECKED
 from wardline.queries.registry import query
 
@@ -30,9 +31,9 @@ def _(t):
     day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 200).cast("int"))
     docs = t.documents.select("doc_id", "source", "lang", "text", day.alias("day"))
     gated = quality_gate(docs, ReportColumns("text", activity="lang", location="source", incident_date="day"), F.to_date(F.lit("2025-01-01")))
-    ready = gated.filter("accepted").withColumn("narrative", compose_text(["text"])).filter(~is_sparse("narrative"))
+    ready = once(gated.filter("accepted"), narrative=compose_text(["text"])).filter(~is_sparse("narrative"))
     tags = tag_rules(ready, "doc_id", {"narrative": "narrative"}, RULES, contexts=False).select("doc_id", "rule")
+    # the narratives stay behind: only ids and short columns meet in the join
     facts = tags.join(docs.select("doc_id", "source", "lang", "day"), "doc_id")
     as_of = docs.agg(F.max("day")).scalar()
-    out = recurring(facts, ["source", "lang", "rule"], "day", as_of, 90, 3, 50, "doc_id")
-    return out.drop("sample_ids")
+    return recurring(facts, ["source", "lang", "rule"], "day", as_of, 90, 3, 50, "doc_id", samples=None)
