@@ -269,6 +269,18 @@ def _(t):
     return out.withColumn("keywords", F.array_join("keywords", ","))
 
 
+@query(
+    "j7_rule_lookup",
+    f"""with c(class, severity, kw, ord) as (values {values_sql([(n, s, w, i) for n, (s, ws) in PREC.items() for i, w in enumerate(ws)])})
+      select source, class, count(distinct doc_id) as reports from documents join c on contains(lower(text), kw) group by 1, 2""",
+)
+def _(t):
+    tags = g.keyword_tags(t.documents, "doc_id", "text", PREC).select("doc_id", "class")
+    return tags.join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source", "class").agg(
+        F.count(F.lit(1)).alias("reports")
+    )
+
+
 PHRASES = ((r"tion\s+the", "Tion missing"), (r"(?:que|la)\s+le", "Que bypassed"))
 
 
