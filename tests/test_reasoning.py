@@ -74,3 +74,28 @@ def test_reconciliation(spark):
         ("INSUFFICIENT_EVIDENCE", None, "INSUFFICIENT_INFORMATION"), ("MODEL_AND_RULE_AGREE", None, "PSIF"),
         ("DATA_QUALITY_BLOCKED", None, "INSUFFICIENT_INFORMATION"),
     ]
+
+
+def test_evidence_chain_links_and_breaks(spark):
+    from pyspark.sql import functions as F
+
+    from wardline.operators import evidence as ev
+
+    rows = [("The rigger stood underneath the suspended load and the sling failed while the crane moved it",),
+            ("The crane held the suspended load, the area was evacuated and the trip activated as it should",), ("Crane",)]
+    df = r.prepare(spark.createDataFrame(rows, "t string"), r.ReasoningColumns("t"))
+    none = F.lit(None).cast("string")
+    out = ev.evidence_chain(df, ev.CHAIN, none, none, none, none, F.lit(False), none, F.lit(True)).collect()
+    states = [[x[f"{link}_link"] for link in ev.LINKS] for x in out]
+    assert states[0] == ["SUPPORTED"] * 5 and out[0]["breaks"] == ["none_supported_psif"]
+    assert states[1][1:3] == ["MISSING", "MISSING"] and out[1]["breaks"] == ["exposure_missing", "control_intact"]
+    assert out[2]["is_sparse"] and "sparse_narrative" in out[2]["breaks"]
+
+
+def test_every_taxonomy_resolves_its_own_names(spark):
+    from wardline.operators import entities as e
+
+    for name, tax in e.TAXONOMIES.items():
+        df = spark.createDataFrame([(c,) for c in tax.canonical if c != "Unknown"], "raw string")
+        got = e.resolve_entity(df, "raw", tax).collect()
+        assert all(x["raw_entity"]["canonical"] == x["raw"] for x in got), name

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -40,11 +41,22 @@ def parse_flag(value: Column) -> Column:
     return F.when(key.isin(*TRUE_WORDS), F.lit(True)).when(key.isin(*FALSE_WORDS), F.lit(False))
 
 
+def first_timestamp(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Timestamp by the first format that fits, else null.
+
+    A format is only tried on text of its shape: a failed parse costs far more than the pattern test.
+    """
+    tries = []
+    for fmt in formats:
+        shape = "^" + re.sub(r"[A-Za-z]", r"\\d", re.sub(r"([^A-Za-z0-9\s])", r"\\\1", fmt)) + "$"
+        tries.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))))
+    return F.coalesce(*tries)
+
+
 def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that fits; null words and anything else give null."""
     text = strip(value)
-    text = F.when(~F.lower(text).isin(*NULL_WORDS), text)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(fmt))) for fmt in formats])
+    return F.to_date(first_timestamp(F.when(~F.lower(text).isin(*NULL_WORDS), text), formats))
 
 
 def short_text(value: Column, max_len: int | None = 255) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.codes import DATE_FORMATS
+from wardline.functions.codes import DATE_FORMATS, first_timestamp
 
 BAD = "_bad_record"
 # Spellings that make a column boolean.
@@ -121,7 +121,7 @@ def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> D
     def checks(i: int, c: str) -> list[Column]:
         value = F.trim(F.col(f"`{c}`").cast("string"))
         present = value.isNotNull() & (value != "")
-        dated = F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]).isNotNull() & value.rlike("[-/.]")
+        dated = first_timestamp(value, DATE_FORMATS).isNotNull()
         return [
             F.count_if(present).alias(f"n{i}"),
             F.count_if(present & value.try_cast("double").isNotNull()).alias(f"number{i}"),
