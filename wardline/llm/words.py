@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _LETTER = np.arange(256, dtype=np.uint8)
@@ -112,7 +113,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
     """Slices of the batches whose texts hold about ``limit`` bytes; one longer text is a slice of its own."""
     for batch in batches:
         texts = batch.column(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
         if not len(sizes):
             continue
         group = np.concatenate([[0], np.cumsum(sizes)[:-1]]) // limit
