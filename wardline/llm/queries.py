@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import tokens
+from wardline.llm import language, media, secrets, tokens
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,5 +24,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path(TOKENIZER))
 
 
-for _run in (op6_token_counts,):
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; four fifths of the labelled documents may teach."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.fit_profiles(docs.filter(~language.held_out()))
+    found = language.predict(docs, profiles)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as samples in the chunk store, read back and described."""
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan):
     QUERIES[_run.__name__] = _run
