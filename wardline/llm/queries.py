@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import language, media, secrets, tokens
+from wardline.llm import language, lines, media, secrets, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,5 +43,43 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan):
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that come after an equal line or one within an edit distance of 1."""
+    kept = lines.drop_near_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = """
+with parts as (select doc_id, text, string_split(text, chr(10)) as parts from documents),
+rows as (
+  select doc_id, pos, line
+  from (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as line from parts) where length(line) >= 20),
+lines as (select line, min(doc_id * 1000000 + pos) as first, length(line) as n from rows group by line),
+halves as (
+  select line, first, n, 'p' as side, left(line, n // 2) as half, n // 2 as h from lines
+  union select line, first, n, 'p', left(line, (n - 1) // 2), (n - 1) // 2 from lines
+  union select line, first, n, 's', right(line, n // 2), n // 2 from lines
+  union select line, first, n, 's', right(line, (n - 1) // 2), (n - 1) // 2 from lines),
+near as (
+  select a.line, min(b.first) as near from halves a join halves b on a.side = b.side and a.h = b.h and a.half = b.half
+  where a.line <> b.line and abs(a.n - b.n) <= 1 and levenshtein(a.line, b.line) <= 1 group by a.line),
+cuts as (select line, least(first, coalesce(near, first)) as cut from lines left join near using (line)),
+gone as (select doc_id, list(pos) as gone from rows join cuts using (line) where doc_id * 1000000 + pos > cut group by doc_id)
+select doc_id, len(parts)::bigint as n_lines, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(case when gone is null then text else coalesce(array_to_string(
+    list_transform(list_filter(range(len(parts)), lambda i: not list_contains(gone, i)), lambda i: parts[i + 1]), chr(10)), '') end) as kept_sha256
+from parts left join gone using (doc_id)
+"""
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; pages whose document is toxic or of low quality teach the mined rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    mined = urls.mine(pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", "toxic", "quality"), bad)
+    return urls.judge(pages, mined)
+
+
+for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter):
     QUERIES[_run.__name__] = _run
