@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import language, lines, media, secrets, tokens, urls
+from wardline.llm import language, lines, media, packing, secrets, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,5 +81,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, mined)
 
 
-for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter):
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 4,096."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter, op7_packing):
     QUERIES[_run.__name__] = _run

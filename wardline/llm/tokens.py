@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from wardline.llm.words import by_bytes, utf8
 
-MEMO = 1_000_000  # pieces that a worker remembers; beyond that it starts afresh
+MEMO = 500_000  # pieces, and words, that a worker remembers; beyond that it starts afresh
 BATCH_BYTES = 1 << 18  # bytes that one call of the library gets
+MARKS = b".,;:!?%#*&$"
 _KEPT: dict[tuple[str, str], Encoder] = {}
 
 
@@ -31,18 +32,22 @@ class Encoder:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self._encode = lambda texts: model.encode(texts, num_threads=1)
+            self.size = model.get_piece_size()
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
             model.no_padding()
             model.no_truncation()
+            self.size = model.get_vocab_size()
             self._encode = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
-        probes = ["a b", "a\n b", "A\t.b", "é  1x"]
+        probes = ["a b", "a\n b", "A\t.b", "é  1x", "Don't .,", "x9 %%%"]
+        ends = ["Ab .,", "é !?", "9 ***"]  # here the blank itself must not matter
         self.cuts = all(
             self._encode([p])[0] == [i for part in p.split() for i in self._encode([part])[0]] for p in probes
-        )
+        ) and all(self._encode([p])[0] == self._encode([p.replace(" ", "").lower()])[0] for p in ends)
         self._memo: dict = {}
+        self._words: dict = {}
 
     @classmethod
     def of(cls, path: str, use: str) -> Encoder:
@@ -55,22 +60,40 @@ class Encoder:
         return text.split() if self.cuts else [text] if text else []
 
     def learn(self, pieces: set, value) -> dict:
-        """``value(ids)`` of every piece; asks the library only for new ones."""
+        """``value(ids)`` of every piece, which must add up; asks the library only for new words."""
         if len(self._memo) > MEMO:
             self._memo = {}
-        new, size, call = [p for p in pieces if p not in self._memo], 0, []
-        for i, piece in enumerate(new):
-            call.append(piece)
-            size += len(piece)
-            if size >= BATCH_BYTES or i == len(new) - 1:
-                for p, ids in zip(call, self._encode([p.decode() for p in call])):
-                    self._memo[p] = value(ids)
+        if len(self._words) > MEMO:
+            self._words = {}
+        new = [(p, *self._parts(p)) for p in pieces if p not in self._memo]
+        words, size, call = dict.fromkeys(w for _, *parts in new for w in parts if w not in self._words), 0, []
+        for i, word in enumerate(words):
+            call.append(word)
+            size += len(word)
+            if size >= BATCH_BYTES or i == len(words) - 1:
+                for w, ids in zip(call, self._encode([w.decode() for w in call])):
+                    self._words[w] = value(ids)
                 size, call = 0, []
+        known = self._words
+        for piece, word, *rest in new:
+            self._memo[piece] = known[word] + known[rest[0]] if rest else known[word]
         out = self._memo
         if not self.cuts:
-            self._memo = {}
+            self._memo, self._words = {}, {}
         return out
 
+    def _parts(self, piece: bytes) -> list[bytes]:
+        """The piece without capitals and without the marks at its end, and these marks: a letter or digit and a
+        mark never share a token where white space may be cut. Special strings hold ``<`` and stay whole.
+        """
+        if not self.cuts or b"<" in piece:
+            return [piece]
+        piece = piece.lower()
+        word = piece.rstrip(MARKS)
+        if len(word) < len(piece) and word and word[-16:].decode(errors="ignore")[-1:].isalnum():
+            return [word, piece[len(word) :]]
+        return [piece]
+
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every whole text.
