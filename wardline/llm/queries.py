@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import language, lines, media, packing, secrets, tiling, tokens, urls
+from wardline.llm import jaccard, language, lines, media, packing, secrets, tiling, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,5 +91,10 @@ def op8_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter, op7_packing, op8_benchmark_tiling):
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.group_similar(table(spark, sf_dir, "documents"))
+
+
+for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter, op7_packing, op8_benchmark_tiling, op3_ngram_jaccard):
     QUERIES[_run.__name__] = _run
