@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import jaccard, language, lines, media, packing, secrets, tiling, tokens, urls
+from wardline.llm import jaccard, language, lines, media, packing, secrets, substring, tiling, tokens, urls
 
 TOKENIZER = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,5 +96,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group_similar(table(spark, sf_dir, "documents"))
 
 
-for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter, op7_packing, op8_benchmark_tiling, op3_ngram_jaccard):
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 or more words that also start earlier."""
+    return substring.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+for _run in (op6_token_counts, op4_language_id, op9_media_columns, op10_secret_scan, op5_line_dedup, op2_url_filter, op7_packing, op8_benchmark_tiling, op3_ngram_jaccard, op1_substring_dedup):
     QUERIES[_run.__name__] = _run
