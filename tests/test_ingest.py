@@ -94,7 +94,7 @@ def test_csv_keeps_short_rows_and_drops_long_ones(spark, tmp_path):
     rows = r.read_reports(spark, str(path), "csv", ["col1", "col2"])
     assert sorted(tuple(x) for x in r.good_rows(rows).collect()) == [("1", "2"), ("3", None), ("a, b", "7")]
     assert tuple(r.bad_count(rows).first()) == (4, 1, 0)
-    assert r.csv_header(spark, str(path)) == ["col1", "col2"]
+    assert [names for names, _ in r.csv_headers(spark, str(path))] == [("col1", "col2")]
 
 
 def test_csv_latin_1(spark, tmp_path):
@@ -133,3 +133,11 @@ def test_ingest_end_to_end(spark):
     assert out.rejected.first()["blocking_checks"] == ["PLACEHOLDER_NARRATIVE"]
     tags = {x["rule"]: x["keywords"] for x in out.tags.collect()}
     assert tags["Safe Mechanical Lifting"] == ["crane", "dropped", "lift", "suspended load"]
+
+
+def test_csv_files_of_other_column_order_and_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Narrative,Task\n2024-01-05,"one\ntwo, ""three""",weld\n\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffTask,Date\ncut,2024-01-06\n", encoding="utf-8")
+    rows = r.good_rows(r.read_csv(spark, f"{tmp_path}/*.csv"))
+    got = sorted((x.Date, x.Narrative, x.Task) for x in rows.collect())
+    assert got == [("2024-01-05", 'one\ntwo, "three"', "weld"), ("2024-01-06", None, "cut")]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -14,7 +13,9 @@ from wardline.functions.text import strip
 TRUE_WORDS = ("true", "yes", "y", "1", "x", "✓", "near miss", "near-miss")
 FALSE_WORDS = ("false", "no", "n", "0", "")
 NULL_WORDS = ("", "none", "null", "nan", "nat")
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+)
 RISK_CUTS = ((0.25, "low"), (0.50, "medium"), (0.75, "high"))
 RISK_TOP = "critical"
 
@@ -26,13 +27,14 @@ def first_entry(table: Sequence[tuple[str, str]], accepts) -> Column:
     return F.get(F.filter(F.arrays_zip(keys, values), lambda e: accepts(e["0"])), F.lit(0))["1"]
 
 
-def normalise_code(value: Column, codes: Mapping[str, str], max_len: int = 30) -> Column:
-    """Dictionary lookup, then first dictionary entry sharing a prefix, then the raw value cut."""
+def normalise_code(value: Column, codes: Mapping[str, str], max_len: int | None = None) -> Column:
+    """Dictionary lookup, then first dictionary entry sharing a prefix, then the raw value (cut if ``max_len`` is given)."""
     key = F.lower(strip(value))
     table = "\u0001".join(f"{k}\u0002{v}" for k, v in codes.items())
     exact = F.try_element_at(F.str_to_map(F.lit(table), F.lit("\u0001"), F.lit("\u0002")), key)
     prefix = first_entry(list(codes.items()), lambda k: F.startswith(key, k) | F.startswith(k, key))
-    return F.when(key != "", F.coalesce(exact, prefix, F.substring(value, 1, max_len)))
+    raw = value if max_len is None else F.substring(value, 1, max_len)
+    return F.when(key != "", F.coalesce(exact, prefix, raw))
 
 
 def parse_flag(value: Column) -> Column:
@@ -41,25 +43,50 @@ def parse_flag(value: Column) -> Column:
     return F.when(key.isin(*TRUE_WORDS), F.lit(True)).when(key.isin(*FALSE_WORDS), F.lit(False))
 
 
-def first_timestamp(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Timestamp by the first format that fits, else null.
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.to_date(F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("y-M-d")))
 
-    A format is only tried on text of its shape: a failed parse costs far more than the pattern test.
+
+def first_date(text: Column) -> Column:
+    """Calendar day of a date as people and programs write it, else null.
+
+    Year first with ``-`` or ``/``; month first with ``/`` (day first where the first number is over 12); day first
+    with ``-`` or ``.``; English month names or their first three letters, before or after the day. Each with one
+    or two digits for month and day, and with or without a time, fraction and zone. The day is taken as written.
+    Every form is only tried on text of its shape, as a failed parse costs far more than the test.
     """
-    tries = []
-    for fmt in formats:
-        shape = "^" + re.sub(r"[A-Za-z]", r"\\d", re.sub(r"([^A-Za-z0-9\s])", r"\\\1", fmt)) + "$"
-        tries.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))))
-    return F.coalesce(*tries)
+    time = r"(?:[T ]+[0-2]?\d:[0-5]\d(?::[0-5]\d(?:[.,]\d{1,9})?)?(?: ?[AaPp][Mm])?(?: ?(?:[Zz]|UTC|GMT|[+-]\d{2}:?\d{2}))?)?$"
+
+    def tried(pattern: str, build) -> Column:
+        return F.when(text.rlike(pattern + time), build(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]))
+
+    def month(name: Column) -> Column:
+        full = F.lower(name)
+        known = F.array(*[F.lit(m) for m in MONTHS])
+        hit = F.filter(known, lambda m: (m == full) | (F.left(m, F.lit(3)) == full) | ((full == "sept") & (m == "september")))
+        return F.array_position(known, F.get(hit, F.lit(0)))
+
+    def numbers(first: Column, second: Column, year: Column) -> Column:
+        swap = first.cast("int") > 12
+        return _day(year, F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second))
+
+    return F.coalesce(
+        tried(r"^(\d{4})-(\d{1,2})-(\d{1,2})", _day),
+        tried(r"^(\d{4})/(\d{1,2})/(\d{1,2})", _day),
+        tried(r"^(\d{1,2})/(\d{1,2})/(\d{4})", numbers),
+        tried(r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4})", lambda d, m, y: _day(y, m, d)),
+        tried(r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})", lambda m, d, y: _day(y, month(m), d)),
+        tried(r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})", lambda d, m, y: _day(y, month(m), d)),
+    )
 
 
-def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that fits; null words and anything else give null."""
+def parse_date(value: Column) -> Column:
+    """The day of ``first_date``; null words and anything else give null."""
     text = strip(value)
-    return F.to_date(first_timestamp(F.when(~F.lower(text).isin(*NULL_WORDS), text), formats))
+    return first_date(F.when(~F.lower(text).isin(*NULL_WORDS), text))
 
 
-def short_text(value: Column, max_len: int | None = 255) -> Column:
+def short_text(value: Column, max_len: int | None = None) -> Column:
     """Trimmed text or null when empty; ``max_len=None`` keeps it whole."""
     text = F.nullif(strip(value), F.lit(""))
     return text if max_len is None else F.substring(text, 1, max_len)

@@ -74,12 +74,12 @@ def mapping_conflicts(
     )
 
 
-def apply_mapping(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
-    """Mapped columns trimmed and cut to 255 characters; long narratives stay whole."""
+def apply_mapping(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[str] = (), max_len: int | None = None) -> DataFrame:
+    """Mapped columns trimmed; with ``max_len`` all but the long narratives are cut to so many characters."""
     return df.select(
         *keep,
         *[
-            short_text(F.col(column).cast("string"), None if field in LONG_TEXT_FIELDS else 255).alias(field)
+            short_text(F.col(column).cast("string"), None if field in LONG_TEXT_FIELDS else max_len).alias(field)
             for field, column in mapping.items()
         ],
     )

@@ -99,8 +99,8 @@ def _(t):
 @query(
     "b3_apply_mapping",
     f"""select doc_id, md5(nullif(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '')) as description,
-    substr(nullif(trim(source), ''), 1, 255) as location,
-    substr(nullif(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), ''), 1, 255) as job_task from documents""",
+    nullif(trim(source), '') as location,
+    nullif(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '') as job_task from documents""",
 )
 def _(t):
     out = m.apply_mapping(t.documents, {"description": "text", "location": "source", "job_task": "text"}, ["doc_id"])
@@ -148,18 +148,16 @@ def _(t):
 
 @query(
     "b7_parse_date",
-    """select o_orderkey, case when o_orderkey % 5 < 4 then o_orderdate::date end as day from orders""",
+    """select o_orderkey, case when o_orderkey % 16 < 14 then o_orderdate::date end as day from orders""",
 )
 def _(t):
-    r = F.col("o_orderkey") % 5
-    raw = (
-        F.when(r == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .when(r == 1, F.date_format("o_orderdate", "yyyy/MM/dd"))
-        .when(r == 2, F.date_format("o_orderdate", "MM/dd/yyyy"))
-        .when(r == 3, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-        .when(F.col("o_orderkey") % 2 == 0, "NaT")
-        .otherwise("99th of never")
+    forms = (
+        "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+        "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd HH:mm", "M/d/yyyy", "M/d/yyyy H:mm", "MMM d, yyyy", "d MMMM yyyy", "dd-MM-yyyy", "d.M.yyyy",
     )
+    raw = F.when(F.col("o_orderkey") % 16 == 14, "NaT").otherwise("99th of never")
+    for i, form in enumerate(forms):
+        raw = F.when(F.col("o_orderkey") % 16 == i, F.date_format("o_orderdate", form)).otherwise(raw)
     return t.orders.select("o_orderkey", codes.parse_date(raw).alias("day"))
 
 

@@ -15,9 +15,9 @@ from wardline.sources import writers as w
 
 
 def csv_file(t):
-    """Conversations as a CSV file with a bad line for every 50th row and a short one for every 70th."""
+    """Conversations, line ends and all, as CSV files with a bad line for every 50th row and a short one for every 70th."""
     c = t.conversations
-    cell = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, '[\\r\\n]+', ' '), '"', '""'), F.lit('"'))
+    cell = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, '"', '""'), F.lit('"'))
     n = F.col("conv_id") * 100 + F.col("turn")
     line = (
         F.when(n % 50 == 0, F.concat_ws(",", F.col("conv_id").cast("string"), F.lit("x,y"), F.lit("z"), F.lit("too,many")))
@@ -29,7 +29,7 @@ def csv_file(t):
     return folder
 
 
-FLAT = "replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), chr(0), '')"
+FLAT = "replace(text, chr(0), '')"
 
 
 @query(
@@ -43,6 +43,20 @@ def _(t):
     return rows.withColumn("text", F.md5("text"))
 
 
+@query(
+    "a1_read_csv_orders",
+    "select o_orderkey::varchar as key, case when o_orderkey % 3 < 2 then o_orderstatus end as status, case when o_orderkey % 3 <> 1 then o_orderpriority end as priority from orders",
+)
+def _(t):
+    """Files whose columns come in another order, or are fewer, read together by name."""
+    folder, o = work_folder(t.spark, "csv-orders"), t.orders
+    names = {"key": F.col("o_orderkey").cast("string"), "status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority")}
+    for i, order in enumerate((("key", "status", "priority"), ("status", "key"), ("priority", "key"))):
+        part = o.filter(F.col("o_orderkey") % 3 == i).select(*[names[c].alias(c) for c in order])
+        part.write.option("header", True).option("quoteAll", True).csv(f"{folder}/{i}")
+    return r.good_rows(r.read_csv(t.spark, f"{folder}/*", ["key", "status", "priority"]))
+
+
 @query(
     "a1_bad_rows",
     "select count(*) as records, count(*) filter ((conv_id * 100 + turn) % 50 = 0) as bad, 0::bigint as empty from conversations",

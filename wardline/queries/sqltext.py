@@ -47,7 +47,7 @@ def code_sql(column: str, codes: dict) -> str:
     prefix = " ".join(
         f"when starts_with({key}, {quote(k)}) or starts_with({quote(k)}, {key}) then {quote(v)}" for k, v in codes.items()
     )
-    return f"case when {key} = '' then null {exact} {prefix} else substr({column}, 1, 30) end"
+    return f"case when {key} = '' then null {exact} {prefix} else {column} end"
 
 
 def word_sql(patterns) -> str:

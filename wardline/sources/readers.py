@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.codes import DATE_FORMATS, first_timestamp
+from wardline.functions.codes import first_date
 
 BAD = "_bad_record"
 # Spellings that make a column boolean.
@@ -19,25 +20,58 @@ def _strings(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def csv_header(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",") -> list[str]:
-    """Column names of the first file line."""
-    return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).csv(path).columns
+def csv_headers(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",") -> list[tuple[tuple[str, ...], list[str]]]:
+    """Files of ``path`` by the column names of their first line, in the order of their first file.
+
+    The first lines come from the start of each file only; the driver gets one line per file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(path).select("path")
+    names = sorted(r[0] for r in files.collect())
+    groups: dict[tuple[str, ...], list[str]] = {}
+    firsts = spark.read.option("encoding", encoding).option("wholetext", False).text(names) if names else None
+    if firsts is None:
+        return []
+    block = F.col("_metadata.file_block_start") == 0
+    lines = firsts.select(F.col("_metadata.file_path").alias("file"), F.col("value"), F.monotonically_increasing_id().alias("at"), block.alias("start"))
+    first = lines.filter("start and trim(value) <> ''").groupBy("file").agg(F.min(F.struct("at", "value")).alias("l"))
+    parsed = first.select("file", F.regexp_replace("l.value", "^\ufeff", "").alias("value")).collect()
+    for file, value in sorted(parsed):
+        cells = next(csv.reader([value], delimiter=sep))
+        groups.setdefault(tuple(c.strip() for c in cells), []).append(file)
+    return list(groups.items())
 
 
 def read_csv(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str = "UTF-8", sep: str = ",",
-    multiline: bool = False, header: bool = True,
+    multiline: bool = True, header: bool = True,
 ) -> DataFrame:
     """CSV rows as strings plus the bad-record column; see ``good_rows``.
 
-    A row with too few cells is kept with nulls, one with too many is bad. Give ``columns`` to skip
-    reading the header first; ``encoding='ISO-8859-1'`` is the fallback for files that are not UTF-8.
+    With a header, files are grouped by their own header and put together by column name, so files may order their
+    columns differently or lack some. ``columns`` picks the result's columns; without a header it names the cells.
+    Quoted cells may hold line ends; then a file is read by one task. ``multiline=False`` splits large files and
+    is right only where no cell holds a line end. A row with too few cells is kept with nulls, one with too many is bad.
+    ``encoding='ISO-8859-1'`` is the fallback for files that are not UTF-8.
     """
-    names = list(columns or csv_header(spark, path, encoding, sep))
-    schema = _strings(names).add(BAD, T.StringType())
-    reader = spark.read.schema(schema).options(
+    if not header:
+        if not columns:
+            raise ValueError("without a header give columns")
+        return _csv_rows(spark, path, list(columns), encoding, sep, multiline, False)
+    parts = [_csv_rows(spark, files, list(names), encoding, sep, multiline, True) for names, files in csv_headers(spark, path, encoding, sep)]
+    if not parts:
+        return spark.createDataFrame([], _strings(columns or []).add(BAD, T.StringType()))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    wanted = list(columns or [c for c in rows.columns if c != BAD])
+    have = set(rows.columns)
+    return rows.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in wanted], BAD)
+
+
+def _csv_rows(spark: SparkSession, path, names: list[str], encoding: str, sep: str, multiline: bool, header: bool) -> DataFrame:
+    reader = spark.read.schema(_strings(names).add(BAD, T.StringType())).options(
         header=header, encoding=encoding, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True,
-        multiLine=multiline, escape='"',
+        multiLine=multiline, escape='"', maxCharsPerColumn=-1,
     )
     rows = reader.csv(path)
     unquoted = F.regexp_replace(F.col(BAD), r'"(?:[^"]|"")*"', "")
@@ -121,7 +155,7 @@ def infer_column_types(df: DataFrame, columns: Sequence[str] | None = None) -> D
     def checks(i: int, c: str) -> list[Column]:
         value = F.trim(F.col(f"`{c}`").cast("string"))
         present = value.isNotNull() & (value != "")
-        dated = first_timestamp(value, DATE_FORMATS).isNotNull()
+        dated = first_date(value).isNotNull()
         return [
             F.count_if(present).alias(f"n{i}"),
             F.count_if(present & value.try_cast("double").isNotNull()).alias(f"number{i}"),
