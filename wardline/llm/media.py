@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm.bits import BitFilter
 from wardline.llm.words import by_bytes, mix, utf8
 from wardline.plans.scale import shared_folder
 
@@ -81,7 +83,11 @@ def chunks(media: bytes) -> list[bytes]:
 
 
 def digest(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def media_id(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
 
 
 def feature(payload: bytes) -> str:
@@ -100,64 +106,104 @@ def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+BUNDLE = "media_id binary, media_sha256 binary, digests array<binary>, owners array<binary>, own array<binary>, lends array<boolean>"
+
+
+def _bundles(texts: list[bytes], roles: list[dict[int, bytes | None]]) -> pa.RecordBatch:
+    """Rows of the store. ``roles``: chunk number to the media that holds it, or to None if it is held here and lent."""
+    names = [c.split()[0] for c in BUNDLE.split(", ")]
+    types = [pa.binary(), pa.binary(), *[pa.list_(pa.binary())] * 3, pa.list_(pa.bool_())]
+    rows = []
+    for text, role in zip(texts, roles):
+        media = to_wav(payload_of(text))
+        parts = chunks(media)
+        away = [role.get(i) for i in range(len(parts))]
+        rows.append((
+            media_id(text), hashlib.sha256(media).digest(), [digest(c) for c in parts], away,
+            [c if owner is None else None for c, owner in zip(parts, away)],
+            [i in role and owner is None for i, owner in enumerate(away)],
+        ))
+    return _rows(names, types, rows)
+
+
+def _spark_hash(value: int) -> int:
+    """``xxhash64`` of a long."""
+    return xxhash.xxh64_intdigest(value.to_bytes(8, "little"), seed=42)
+
+
+def store(docs: DataFrame, folder: str, text_col: str = "text") -> None:
     """Writes ``folder``/bundles: one row per distinct text with its ordered chunk digests, the place of
     each chunk's only copy, and those copies that this row owns.
 
-    Columns: media_id (SHA-256 of the text), media_sha256, digests, owners (media_id that holds the chunk,
-    null for itself), own (chunks held here, zstd). The copy belongs to the smallest (media_id, position).
-    Null texts count as empty. Equal texts are stored once, whatever their number.
+    Columns: media_id (first half of the text's SHA-256), media_sha256, digests, owners (media_id that holds the chunk,
+    null for itself), own (chunks held here), lends (whether another place uses a chunk held here). The
+    copy belongs to the smallest (media_id, position). Null texts count as empty. Equal texts are stored once,
+    whatever their number.
+
+    Only media that occur twice or share chunks need their text beside the other side of a join. A bit filter
+    names them, and some others; the rest is stored where it is read.
     """
     spark = docs.sparkSession
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in by_bytes(batches, "text"):
-            yield _rows(["media_id", "text"], [pa.binary(), pa.binary()], [
-                (digest(t or b""), press.compress(t or b"")) for t in utf8(batch.column("text"))
-            ])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["media_id", "at", "digest"], [pa.binary(), pa.int32(), pa.binary()]
         for batch in by_bytes(batches, "text"):
-            rows, seen = [], set()
+            rows, seen = [], {}
             for t in utf8(batch.column("text")):
-                t = t or b""
-                if (key := digest(t)) not in seen:
-                    seen.add(key)
-                    rows += [(key, i, digest(c)) for i, c in enumerate(chunks(to_wav(payload_of(t))))]
+                key = media_id(t or b"")
+                if key not in seen:
+                    seen[key] = [(key, i, digest(c)) for i, c in enumerate(chunks(to_wav(payload_of(t or b""))))]
+                    rows += seen[key]
+                else:
+                    rows.append(seen[key][0])  # says that the text occurs again
             yield _rows(names, types, rows)
 
-    texts = docs.select(F.col(text_col).alias("text"))
-    # which media hold a chunk that another place owns: the only use of the first pass is this small relation
-    places = texts.mapInArrow(cut, "media_id binary, at int, digest binary")
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    texts.mapInArrow(cut, "media_id binary, at int, digest binary").write.parquet(f"{folder}/places")
+    places = spark.read.parquet(f"{folder}/places")
     owner = places.groupBy("digest").agg(
         F.min(F.struct("media_id", "at")).alias("o"), F.max(F.struct("media_id", "at")).alias("last")
     )
     shared = owner.filter("o <> last").select("digest", F.col("o.media_id").alias("owner"), F.col("o.at").alias("owner_at"))
-    lent = places.distinct().join(shared, "digest").filter("media_id <> owner or at <> owner_at")
-    lent = lent.groupBy("media_id").agg(F.collect_list(F.struct("at", "owner")).alias("lent"))
+    roles = places.join(shared, "digest").filter("media_id <> owner or at <> owner_at").select("media_id", "at", "owner")
+    roles = roles.distinct().unionByName(
+        shared.select(F.col("owner").alias("media_id"), F.col("owner_at").alias("at"), F.lit(None).cast("binary").alias("owner"))
+    )
+    roles.groupBy("media_id").agg(F.collect_list(F.struct("at", "owner")).alias("roles")).write.parquet(f"{folder}/roles")
+    roles = spark.read.parquet(f"{folder}/roles")
+    again = places.filter("at = 0").groupBy("media_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    special = roles.select("media_id").unionByName(again.select("media_id")).distinct()
+    special = special.select(F.conv(F.hex(F.substring("media_id", 1, 7)), 16, 10).cast("long").alias("h")).select(F.xxhash64("h"))
+    held = BitFilter(special, special.count())
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        names = ["media_id", "media_sha256", "digests", "owners", "own"]
-        types = [pa.binary(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    def joins(keys: list[bytes]) -> np.ndarray:
+        return held.has(np.array([_spark_hash(int.from_bytes(k[:7], "big")) for k in keys], np.uint64))
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            rows = []
-            for key, z, lent_ in zip(*(batch.column(c).to_pylist() for c in ("media_id", "text", "lent"))):
-                media = to_wav(payload_of(open_.decompress(z)))
-                parts, from_ = chunks(media), {x["at"]: x["owner"] for x in lent_ or ()}
-                rows.append((
-                    key, hashlib.sha256(media).hexdigest(), [digest(c) for c in parts],
-                    [from_.get(i) for i in range(len(parts))],
-                    [None if i in from_ else press.compress(c) for i, c in enumerate(parts)],
-                ))
-            yield _rows(names, types, rows)
+            texts_ = [t or b"" for t in utf8(batch.column("text"))]
+            alone = [t for t, yes in zip(texts_, joins([media_id(t) for t in texts_])) if not yes]
+            yield _bundles(alone, [{}] * len(alone))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in by_bytes(batches, "text"):
+            found = {media_id(t): t for t in (t or b"" for t in utf8(batch.column("text")))}
+            yield _rows(["media_id", "text"], [pa.binary(), pa.binary()], [
+                (k, press.compress(t)) for (k, t), yes in zip(found.items(), joins(list(found))) if yes
+            ])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in by_bytes(batches, "text", 1 << 19):
+            yield _bundles(
+                [open_.decompress(z) for z in batch.column("text").to_pylist()],
+                [{x["at"]: x["owner"] for x in r or ()} for r in batch.column("roles").to_pylist()],
+            )
 
     media = texts.mapInArrow(pack, "media_id binary, text binary").dropDuplicates(["media_id"])
-    bundles = media.join(lent, "media_id", "left").mapInArrow(
-        split, "media_id binary, media_sha256 string, digests array<binary>, owners array<binary>, own array<binary>"
-    )
+    bundles = media.join(roles, "media_id", "left").mapInArrow(split, BUNDLE)
+    bundles = bundles.unionByName(texts.mapInArrow(direct, BUNDLE))
     bundles.write.option("compression", "zstd").parquet(f"{folder}/bundles")
 
 
@@ -171,16 +217,15 @@ def rebuild(spark: SparkSession, folder: str, compute, columns: str) -> DataFram
     names = [c.split()[0] for c in columns.split(", ")]
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
         kinds = [pa.string() if c.split()[1] == "string" else pa.int64() for c in columns.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for r in batch.slice(at, 256).to_pylist():
                     lent = {x["digest"]: x["data"] for x in r.get("lent") or ()}
-                    parts = [open_.decompress(o if o is not None else lent[d]) for o, d in zip(r["own"], r["digests"])]
+                    parts = [o if o is not None else lent[d] for o, d in zip(r["own"], r["digests"])]
                     media = b"".join(parts)
-                    if [digest(p) for p in parts] != r["digests"] or hashlib.sha256(media).hexdigest() != r["media_sha256"]:
+                    if [digest(p) for p in parts] != r["digests"] or hashlib.sha256(media).digest() != r["media_sha256"]:
                         raise ValueError(f"chunks do not rebuild {r['media_id'].hex()}")
                     rows.append((r["media_id"], *compute(media, from_wav(media))))
                 yield _rows(["media_id", *names], [pa.binary(), *kinds], rows)
@@ -191,14 +236,17 @@ def rebuild(spark: SparkSession, folder: str, compute, columns: str) -> DataFram
     rest = bundles.filter(lends)
     wanted = rest.select("media_id", F.explode(F.arrays_zip("digests", "owners")).alias("c")).filter("c.owners is not null")
     wanted = wanted.select("media_id", F.col("c.digests").alias("digest")).distinct()
-    held = bundles.select(F.explode(F.arrays_zip("digests", "own")).alias("c")).filter("c.own is not null")
+    # each digest has one holder, so this join adds no rows
+    held = bundles.select(F.explode(F.arrays_zip("digests", "own", "lends")).alias("c")).filter("c.lends")
     held = held.select(F.col("c.digests").alias("digest"), F.col("c.own").alias("data"))
-    held = held.join(wanted.select("digest").distinct(), "digest", "left_semi")
     lent = wanted.join(held, "digest").groupBy("media_id").agg(F.collect_list(F.struct("digest", "data")).alias("lent"))
     mended = rest.join(lent, "media_id").select("media_id", "media_sha256", "digests", "own", "lent").mapInArrow(join_up, schema)
     return whole.unionByName(mended)
 
 
+HASHES = ("payload_sha256", "media_sha256")
+
+
 def describe(media: bytes, payload: bytes) -> tuple:
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
@@ -217,10 +265,12 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
-    store(docs, folder, id_col, text_col)
+    store(docs, folder, text_col)
     described = rebuild(spark, folder, describe, DESCRIBED)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("media_id")
+        F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.left(F.sha2(text, 256), F.lit(32))).alias("media_id")
     )
-    return rows.join(described, "media_id").drop("media_id")
+    described = described.withColumns({c: F.unhex(c) for c in HASHES})
+    rows = rows.join(described, "media_id").drop("media_id")
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in HASHES})
