@@ -36,12 +36,6 @@ def test_top_k_keeps_ties_by_the_second_key(spark):
     assert got == [("a", "x", 1), ("a", "y", 2), ("b", "q", 1)]
 
 
-def test_small_side_hints_only_small_tables(spark):
-    plan = lambda df: df._jdf.queryExecution().logical().toString()
-    assert "hint" in plan(scale.small_side(spark.range(10))).lower()
-    assert "hint" not in plan(scale.small_side(spark.range(1000), limit=100)).lower()
-
-
 def test_costly_columns_run_once(spark):
     df = scale.once(spark.range(3), v=F.col("id") * 2).filter("v > 2")
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -126,7 +126,7 @@ def cross_site(
     names = names.groupBy("value").agg(F.sort_array(F.collect_list("raw_value")).alias("aliases"))
     if known is not None:
         listed = facts.sparkSession.createDataFrame([(v,) for v in known], "value string")
-        counts = F.broadcast(listed).join(counts, "value", "left").fillna(0, ["incidents", "psif", "sites"])
+        counts = listed.join(counts, "value", "left").fillna(0, ["incidents", "psif", "sites"])
     return counts.join(names, "value", "left").select(
         "value", "incidents", "psif", percent(F.col("psif"), F.col("incidents")).alias("psif_rate"), "sites", "aliases"
     )
@@ -159,13 +159,13 @@ def recurring(
     as_of: Column,
     days: int = 90,
     min_count: int = 3,
-    limit: int | None = 50,
+    limit: int | None = None,
     id_col: str = "incident_id",
     created: str | None = None,
     samples: int | None = 20,
 ) -> DataFrame:
     """Key combinations of at least ``min_count`` incidents in the window, with first and last day and
-    sample ids; the ``limit`` most frequent, or all of them.
+    ``samples`` sample ids; all of them, or the ``limit`` most frequent.
     """
     rows = df.filter(in_window(day, created, as_of, days))
     for key in keys:

@@ -102,7 +102,7 @@ def _with_all_rules(counts: DataFrame, rules: Sequence[str] | None, numbers: Seq
     if rules is None:
         return counts
     names = counts.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
-    return F.broadcast(names).join(counts, "rule", "left").select(
+    return names.join(counts, "rule", "left").select(
         "rule", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers]
     )
 

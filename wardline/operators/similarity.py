@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.plans.scale import small_side, top_k
+from wardline.plans.scale import top_k
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,11 +43,13 @@ def related(
 ) -> DataFrame:
     """For each target the ``k`` most similar pool rows at or above ``min_similarity``.
 
-    A target never meets itself. ``same`` columns (department, encoder) must be equal; with ``day``
+    A target never meets itself. ``same`` columns (department, encoder), at least one, must be equal; with ``day``
     the pool row may be at most ``days`` older than the target. Every target is compared with its
     whole block, so pass the incidents asked about as targets: the work is targets times block.
     Vectors are scaled once on each side, and only the best ``k`` per target leave a partition.
     """
+    if not same:
+        raise ValueError("name at least one column that must be equal; without it every pair would be compared")
     keep = [id_col, *same, *([day] if day else [])]
     left = targets.select(*[F.col(c).alias(f"_t_{c}") for c in keep], unit(F.col(vector)).alias("_t_vec"))
     right = pool.select(*keep, unit(F.col(vector)).alias("_vec"))
@@ -56,7 +58,7 @@ def related(
         on = on & (F.col(column) == F.col(f"_t_{column}"))
     if day:
         on = on & (F.col(day) >= F.date_sub(F.col(f"_t_{day}"), days))
-    pairs = right.join(small_side(left), on).select(
+    pairs = right.join(left, on).select(
         F.col(f"_t_{id_col}").alias("target_id"), F.col(id_col).alias("related_id"),
         dot(F.col("_vec"), F.col("_t_vec")).alias("similarity"),
     )

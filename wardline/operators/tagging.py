@@ -217,9 +217,9 @@ def failure_phrases(
     text: str,
     patterns: Sequence[tuple[str, str]] = fixed.FAILURE_PHRASES,
     cues: Sequence[str] = fixed.FAILURE_CUES,
-    width: int = 120,
+    width: int | None = None,
 ) -> DataFrame:
-    """(id, phrases): labels of matching patterns, then short sentences with a failure cue, no repeats."""
+    """(id, phrases): labels of matching patterns, then sentences with a failure cue (``width`` letters at most), no repeats."""
     raw = F.coalesce(F.col(text), F.lit(""))
     base = once(df.select(id_col, text), _low=F.lower(raw), _sentences=F.split(raw, r"[.\n]"))
     labels = F.array_compact(F.array(*[F.when(F.col("_low").rlike(p), F.lit(label)) for p, label in patterns]))
@@ -229,7 +229,7 @@ def failure_phrases(
         hit = F.lit(False)
         for cue in cues:
             hit = hit | low.contains(cue)
-        return hit & (F.length(s) <= width)
+        return hit if width is None else hit & (F.length(s) <= width)
 
     trimmed = F.transform("_sentences", strip)
     either = F.concat(labels, F.filter(trimmed, wanted))

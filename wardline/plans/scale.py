@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -49,11 +48,6 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when at most ``limit`` rows are there; otherwise Spark chooses the join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def total(df: DataFrame, expression: Column) -> Column:
     """One aggregate of a table as a scalar subquery column."""
     return df.agg(expression.alias("value")).scalar()
@@ -134,8 +128,3 @@ def running_totals(
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", within: Sequence[str] = ()) -> DataFrame:
     """Position of every row in ``order`` (unique), computed in parallel."""
     return running_totals(df, order, {name: F.lit(1).cast("long")}, within)
-
-
-def spread_nulls(column: Column, spread: Column, buckets: int = 64) -> Column:
-    """Join key whose nulls hash to many partitions; the replacement never equals a real key."""
-    return F.coalesce(column, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("string")))

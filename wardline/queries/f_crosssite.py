@@ -170,8 +170,7 @@ TAGS = """tg as (select event_id // 2 as incident_id, event_type as rule, user_i
 @query(
     "h12_recurring",
     f"""with {TAGS}, g as (select site, act, rule, count(distinct incident_id) as occurrences, min(day) as first_seen,
-        max(day) as last_seen from win group by 1, 2, 3 having count(distinct incident_id) >= 3
-        order by occurrences desc, site, act, rule limit 50),
+        max(day) as last_seen from win group by 1, 2, 3 having count(distinct incident_id) >= 3),
     s as (select site, act, rule, string_agg(incident_id, ',' order by incident_id) as sample_ids from
       (select distinct site, act, rule, incident_id from win) group by 1, 2, 3)
     select g.*, sample_ids from g join s using (site, act, rule)""",

@@ -288,7 +288,7 @@ PHRASES = ((r"tion\s+the", "Tion missing"), (r"(?:que|la)\s+le", "Que bypassed")
     "e18_failure_phrases",
     """with s as (select doc_id, text, unnest(regexp_split_to_array(text, '[.\\n]')) as s,
         generate_subscripts(regexp_split_to_array(text, '[.\\n]'), 1) as i from documents),
-    a as (select doc_id, trim(s) as s, i from s where length(trim(s)) <= 120 and
+    a as (select doc_id, trim(s) as s, i from s where
         (contains(lower(trim(s)), 'ion is') or contains(lower(trim(s)), 'entre '))
       union all select doc_id, 'Tion missing', -2 from documents where regexp_matches(lower(text), 'tion\\s+the')
       union all select doc_id, 'Que bypassed', -1 from documents where regexp_matches(lower(text), '(?:que|la)\\s+le')),

@@ -25,7 +25,7 @@ HITS = " union all ".join(
     h as ({HITS}), j as (select * from h join ok using (doc_id)),
     w as (select * from j where day >= (select date '2024-01-01' + max(doc_id % 200)::int from documents) - 90)
     select source, lang, rule, count(distinct doc_id) as occurrences, min(day) as first_seen, max(day) as last_seen from w
-    group by 1, 2, 3 having count(distinct doc_id) >= 3 order by occurrences desc, source, lang, rule limit 50""",
+    group by 1, 2, 3 having count(distinct doc_id) >= 3""",
 )
 def _(t):
     day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 200).cast("int"))
@@ -36,4 +36,4 @@ def _(t):
     # the narratives stay behind: only ids and short columns meet in the join
     facts = tags.join(docs.select("doc_id", "source", "lang", "day"), "doc_id")
     as_of = docs.agg(F.max("day")).scalar()
-    return recurring(facts, ["source", "lang", "rule"], "day", as_of, 90, 3, 50, "doc_id", samples=None)
+    return recurring(facts, ["source", "lang", "rule"], "day", as_of, 90, 3, None, "doc_id", samples=None)
