@@ -71,26 +71,26 @@ def _(t):
 def _(t):
     target = work_folder(t.spark, "counters")
     stream = j.file_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet")
-    j.run_to_table(j.live_counters(stream.withColumn("state", F.col("user_id") % 3), "event_type", "state"), target)
-    return t.spark.read.parquet(f"{target}/result")
+    j.run_to_table(j.live_counters(stream.withColumn("state", F.col("user_id") % 3), "event_type", "state"), target, "update")
+    return j.latest(t.spark.read.parquet(f"{target}/result"), "event_type", "state")
 
 
 @query(
     "s4_recurrence_alerts",
     """with w as (select event_type, user_id, ts, unnest(generate_series(0, 6)) as back from events),
     x as (select event_type, user_id, ts, (ts::date - back::int) as start from w)
-    select strftime(start, '%Y-%m-%d') as start, event_type, user_id, count(*) as incidents from x group by 1, 2, 3
-    having count(*) >= 5""",
+    select strftime(start, '%Y-%m-%d') as start, event_type, user_id, count(*) as incidents from x
+    where start + 7 <= (select max(ts) - interval 2 day from events) group by 1, 2, 3 having count(*) >= 5""",
 )
 def _(t):
     target = work_folder(t.spark, "alerts")
     stream = j.file_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet")
-    alerts = j.recurrence_alerts(stream, "ts", ["event_type", "user_id"], "event_id", min_count=0)
+    alerts = j.recurrence_alerts(stream, "ts", ["event_type", "user_id"], "event_id", min_count=5)
     rows = alerts.select(
         F.date_format("window.start", "yyyy-MM-dd").alias("start"), "event_type", "user_id", "incidents"
     )
-    j.run_to_table(rows, target, "complete", F.col("incidents") >= 5)
-    return t.spark.read.parquet(f"{target}/result")
+    j.run_to_table(rows, target)
+    return t.spark.read.parquet(f"{target}/result").drop(j.BATCH)
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,7 +82,7 @@ def file_stream(
 
 
 def live_counters(stream: DataFrame, *keys: str) -> DataFrame:
-    """Running counts per dataset and state; write with update or complete output."""
+    """Running counts per dataset and state, one state row a key; write with update output."""
     return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -96,7 +96,8 @@ def recurrence_alerts(
     lateness: str = "2 days",
     min_count: int = 3,
 ) -> DataFrame:
-    """Windows in which a key combination has at least ``min_count`` different incidents.
+    """Windows in which a key combination has at least ``min_count`` different incidents, for append output:
+    a window is told and its state dropped once ``lateness`` has passed after its end.
 
     Repeated ids inside the lateness bound are dropped first, as streams can not count distinct.
     """
@@ -108,14 +109,25 @@ def recurrence_alerts(
     return counted.filter(F.col("incidents") >= min_count)
 
 
-def run_to_table(stream: DataFrame, target: str, mode: str = "complete", condition: Column | None = None) -> None:
-    """Run all available input once; the last full result is in ``target``/result."""
+def run_to_table(stream: DataFrame, target: str, mode: str = "append") -> None:
+    """Run all available input once. Each micro-batch is a partition of ``target``/result that a retry replaces.
+
+    ``append`` writes a row once, when it is final: windows leave the state as the watermark passes them.
+    ``update`` writes only the rows that changed; ``latest`` reads the last one of each key.
+    """
+    if mode not in ("append", "update"):
+        raise ValueError("append or update: a complete result would be kept and written again for ever")
 
     def write(batch_rows: DataFrame, batch: int) -> None:
-        rows = batch_rows if condition is None else batch_rows.filter(condition)
-        rows.write.mode("overwrite").parquet(f"{target}/result")
+        write_batch(batch_rows, f"{target}/result", batch)
 
     (
         stream.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
+
+
+def latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of the last micro-batch for each key."""
+    values = [c for c in rows.columns if c not in (*keys, BATCH)]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, BATCH).alias(c) for c in values])
