@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.words import by_bytes, utf8
 
-MEMO = 500_000  # pieces, and words, that a worker remembers; beyond that it starts afresh
+MEMO = 400_000  # pieces, and half the words, that a worker remembers; beyond that it starts afresh
 BATCH_BYTES = 1 << 18  # bytes that one call of the library gets
 MARKS = b".,;:!?%#*&$"
 _KEPT: dict[tuple[str, str], Encoder] = {}
@@ -56,6 +56,19 @@ class Encoder:
             _KEPT[path, use] = cls(path)
         return _KEPT[path, use]
 
+    def pieces(self, text: bytes) -> list[bytes]:
+        """Parts that are encoded alone; small letters at once where no special string can be made by that."""
+        if self.cuts:
+            return text.split() if b"<" in text else text.lower().split()
+        return [text] if text else []
+
+    @classmethod
+    def of(cls, path: str, use: str) -> Encoder:
+        """The encoder that this worker keeps from task to task for one use."""
+        if (path, use) not in _KEPT:
+            _KEPT[path, use] = cls(path)
+        return _KEPT[path, use]
+
     def pieces(self, text: bytes) -> list[bytes]:
         return text.split() if self.cuts else [text] if text else []
 
@@ -63,36 +76,36 @@ class Encoder:
         """``value(ids)`` of every piece, which must add up; asks the library only for new words."""
         if len(self._memo) > MEMO:
             self._memo = {}
-        if len(self._words) > MEMO:
+        if len(self._words) > 2 * MEMO:
             self._words = {}
-        new = [(p, *self._parts(p)) for p in pieces if p not in self._memo]
-        words, size, call = dict.fromkeys(w for _, *parts in new for w in parts if w not in self._words), 0, []
-        for i, word in enumerate(words):
+        memo, known = self._memo, self._words
+        new = [(p, self._word(p)) for p in pieces if p not in memo]
+        asked = {w for _, w in new if w not in known}
+        asked.update(t for p, w in new if (t := p[len(w) :]) and t not in known)
+        size, call, asked = 0, [], list(asked)
+        for i, word in enumerate(asked):
             call.append(word)
             size += len(word)
-            if size >= BATCH_BYTES or i == len(words) - 1:
+            if size >= BATCH_BYTES or i == len(asked) - 1:
                 for w, ids in zip(call, self._encode([w.decode() for w in call])):
-                    self._words[w] = value(ids)
+                    known[w] = value(ids)
                 size, call = 0, []
-        known = self._words
-        for piece, word, *rest in new:
-            self._memo[piece] = known[word] + known[rest[0]] if rest else known[word]
-        out = self._memo
+        for piece, word in new:
+            memo[piece] = known[word] + known[piece[len(word) :]] if len(word) < len(piece) else known[word]
         if not self.cuts:
             self._memo, self._words = {}, {}
-        return out
+        return memo
 
-    def _parts(self, piece: bytes) -> list[bytes]:
-        """The piece without capitals and without the marks at its end, and these marks: a letter or digit and a
-        mark never share a token where white space may be cut. Special strings hold ``<`` and stay whole.
+    def _word(self, piece: bytes) -> bytes:
+        """The piece without the marks at its end: a letter or digit and a mark never share a token where white
+        space may be cut. Pieces with ``<`` may hold special strings and stay whole.
         """
-        if not self.cuts or b"<" in piece:
-            return [piece]
-        piece = piece.lower()
+        if not self.cuts or piece[-1] not in MARKS or b"<" in piece:
+            return piece
         word = piece.rstrip(MARKS)
-        if len(word) < len(piece) and word and word[-16:].decode(errors="ignore")[-1:].isalnum():
-            return [word, piece[len(word) :]]
-        return [piece]
+        if word and (word[-1:].isalnum() or word[-1] > 127 and word[-16:].decode(errors="ignore")[-1:].isalnum()):
+            return word
+        return piece
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
