@@ -81,3 +81,22 @@ def test_entity_cascade(spark):
     assert resolve(spark, "platform aaaaaaac", tax)[:2] == ("platform aaaaaaac", "UNCERTAIN")
     assert resolve(spark, "Boom  Lift BL-40", TAXONOMIES["equipment"]) == ("Boom Lift", "MAPPED", 0.98)
     assert resolve(spark, None, tax)[1] == "UNKNOWN"
+
+
+def test_barriers_of_the_default_table(spark):
+    texts = [
+        ("LOTO not applied to the pump.", "LOCKOUT_TAGOUT"), ("The gas detector failed during entry.", "GAS_DETECTION"),
+        ("His seat belt not worn at the time.", "SEAT_BELT"), ("The wheel chocks missing, the van rolled.", "WHEEL_CHOCK"),
+        ("Pedestrian segregation was maintained.", "VEHICLE_PEDESTRIAN_SEGREGATION"), ("The safety net caught the tool.", "SAFETY_NET"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "id int, text string")
+    rows = {(r.id, r.category): r for r in x.extract_barriers(df, "id", ["text"]).collect()}
+    for i, (_, category) in enumerate(texts):
+        assert rows[i, category].is_effective == (i > 3) and rows[i, category].is_deficient == (i < 4)
+
+
+def test_every_default_barrier_is_complete():
+    from wardline.rules.barriers import BARRIER_RULES
+
+    assert len({r.category for r in BARRIER_RULES}) == len(BARRIER_RULES) == 26
+    assert all(r.triggers and r.effective and r.deficient and r.label and r.role for r in BARRIER_RULES)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.text import contains_any, first_span, line_match
 from wardline.plans.scale import once
+from wardline.rules.contracts import CONTRACTS
 from wardline.rules.reasoning import HAZARDS
 
 # Fixed values.
@@ -22,22 +23,6 @@ CONTROL_TERMS = ("isolation", "barrier", "guard", "loto", "gas", "tethering")
 LINKS = ("hazard", "exposure", "control", "consequence", "escalation")
 
 # Hazard -> (required items, prompts by key).
-CONTRACTS: dict[str, tuple[int, dict[str, str]]] = {
-    "suspended_loads": (3, {
-        "personnel_position": "Was anyone beneath or inside the swing of the load?",
-        "barricade_status": "Was the exclusion zone kept around the whole lift?",
-    }),
-    "working_at_height": (3, {
-        "elevation": "How high was the work above grade?",
-        "tie_off_status": "Were lanyards anchored throughout the task?",
-    }),
-    "stored_mechanical_energy": (3, {
-        "stored_mechanism": "Which spring, weight or accumulator held energy?",
-        "de_energization": "Were stop pins in or the accumulator drained?",
-    }),
-}
-
-
 @dataclass(frozen=True)
 class ChainPatterns:
     energy: Mapping[str, Sequence[str]]

@@ -108,14 +108,77 @@ TEMPORAL_CUES = (
      ("investigation revealed", "later found", "subsequently discovered", "post-incident audit noted")),
 )
 
-# Concept, cue class, cues in order; the first cue found stands for its class.
+# Concept, cue class, cues in order; the first cue found stands for its class.
 CONCEPT_CUES = (
+    ("energy_isolation", "SYNONYM",
+     ("loto", "lockout/tagout", "lockout", "tagout", "positive isolation", "double block and bleed", "blinding", "blind flange",
+      "spade", "de-energized", "zero energy", "depressurized", "isolated")),
+    ("energy_isolation", "EFFECTIVE_CUE",
+     ("isolation verified", "valves held absolute isolation", "verified zero pressure", "depressurized to zero",
+      "verified zero voltage", "held throughout")),
+    ("energy_isolation", "COMPROMISED_CUE",
+     ("isolation failed", "valve passing", "omitted opening bleeder", "lockout not applied", "not verified",
+      "wrong isolation point", "residual pressure released")),
+    ("energy_isolation", "EXPOSURE_CUE",
+     ("line breaking", "breaking flange", "unbolting live", "tightening under pressure", "in release path")),
+    ("working_at_height", "SYNONYM",
+     ("scaffold", "scaffolding", "scaffolder", "ladder", "mewp", "manlift", "elevated platform", "pipe rack", "derrick mast",
+      "fall arrest", "harness", "srl", "self-retracting lifeline", "lanyard", "anchor", "tie-off", "guardrail")),
+    ("working_at_height", "EFFECTIVE_CUE",
+     ("fall arrest installed and verified", "100% tie-off maintained", "guardrail held", "harness arrested", "netting caught",
+      "tied off")),
+    ("working_at_height", "COMPROMISED_CUE",
+     ("lanyards unhitched", "lanyard unclipped", "detached harness", "guardrail missing", "not anchored", "frayed lanyard")),
+    ("working_at_height", "EXPOSURE_CUE",
+     ("worked at height", "working at 8 metres", "worked at 7 meters elevation", "at unprotected edge", "fell from")),
+    ("lifting_rigging", "SYNONYM",
+     ("crane", "mobile crane", "hoist", "winch", "rigging", "sling", "synthetic sling", "wire rope", "shackle", "spreader bar",
+      "tag line", "banksman", "rigger", "suspended load", "lift radius", "drop zone")),
+    ("lifting_rigging", "EFFECTIVE_CUE",
+     ("remained outside exclusion zone", "behind designated safety barrier", "remote console operation", "slings held firm",
+      "exclusion zone maintained")),
+    ("lifting_rigging", "COMPROMISED_CUE",
+     ("stood beneath suspended load", "entered exclusion zone", "sling parted", "dropped assembly", "rigging failed",
+      "crossed inside barrier")),
+    ("lifting_rigging", "EXPOSURE_CUE",
+     ("underneath load", "under suspended load", "in crane radius", "beneath hoisted package")),
+    ("confined_space", "SYNONYM",
+     ("confined space", "tank entry", "vessel entry", "manhole", "sewer", "manway", "scrubber", "column", "nitrogen purge",
+      "atmospheric testing", "gas monitoring", "oxygen deficiency", "h2s")),
+    ("confined_space", "EFFECTIVE_CUE",
+     ("continuous gas testing confirmed", "safe atmosphere verified", "alarm sounded and crew cleared",
+      "positive mechanical blinds installed")),
+    ("confined_space", "COMPROMISED_CUE",
+     ("entered without continuous monitoring", "gas testing was bypassed", "entered without permit", "nitrogen pocket",
+      "lost consciousness")),
+    ("confined_space", "EXPOSURE_CUE",
+     ("entered vessel", "inside tank", "inside confined space", "leaned through manway", "entrant")),
+    ("electrical_systems", "SYNONYM",
+     ("switchgear", "cubicle", "breaker", "racking", "busbar", "copper busbar", "11kv", "33kv", "440v", "transformer",
+      "arc flash", "live wire", "conductor", "electrocution")),
+    ("electrical_systems", "EFFECTIVE_CUE",
+     ("verified zero hazardous voltage", "remained fully locked out", "dead-front interlock engaged",
+      "tested safe before touch")),
+    ("electrical_systems", "COMPROMISED_CUE",
+     ("absence of voltage not maintained", "lockout verification degraded", "energized-panel not closed off", "worked live",
+      "arc flash occurred")),
+    ("electrical_systems", "EXPOSURE_CUE",
+     ("direct contact trajectory", "contact with live", "opened energized switchgear", "inside flash boundary")),
+    ("vehicle_logistics", "SYNONYM",
+     ("forklift", "truck", "delivery truck", "heavy vehicle", "tractor-trailer", "loading bay", "pedestrian walkway",
+      "segregation barrier", "bollard", "reverse alarm", "spotter")),
+    ("vehicle_logistics", "EFFECTIVE_CUE",
+     ("stayed outside reversing zone", "behind segregation walkway barriers", "reversing alarm held throughout",
+      "bolted steel barrier prevented vehicle encroaching")),
+    ("vehicle_logistics", "COMPROMISED_CUE",
+     ("reverse alarm disabled", "backup alarm broken", "severed wiring harness", "entered vehicle path", "rolled over foot")),
+    ("vehicle_logistics", "EXPOSURE_CUE",
+     ("in vehicle path", "in front of moving", "behind reversing truck", "in travel path")),
     ("hot_work", "SYNONYM",
-     ("hot work", "welding", "torch cutting", "oxy-acetylene", "cutting torch", "grinding", "welding sparks",
-      "hot slag", "fire blanket", "fire watch")),
+     ("hot work", "welding", "torch cutting", "oxy-acetylene", "cutting torch", "grinding", "welding sparks", "hot slag",
+      "fire blanket", "fire watch")),
     ("hot_work", "EFFECTIVE_CUE",
-     ("dedicated fire watch immediately doused", "fire blanket completely sealed deck",
-      "continuous gas test zero lel")),
+     ("dedicated fire watch immediately doused", "fire blanket completely sealed deck", "continuous gas test zero lel")),
     ("hot_work", "COMPROMISED_CUE",
      ("slag rolled past fire blanket", "hot work started without gas test", "sparks contacted combustible")),
     ("hot_work", "EXPOSURE_CUE", ("in hot slag path", "welding spatter trajectory", "flash fire enveloped")),
@@ -128,6 +191,14 @@ CONCEPT_CUES = (
     ("excavation_ground", "COMPROMISED_CUE",
      ("entered un-shored trench", "bypassed trench shoring boxes", "wall collapsed engulfing worker")),
     ("excavation_ground", "EXPOSURE_CUE", ("inside trench bed", "below vertical soil face", "in excavation")),
+    ("dropped_objects", "SYNONYM",
+     ("dropped object", "falling object", "fallen tool", "dropped clamp", "dropped pipe", "tool lanyard", "drop netting",
+      "toe board", "red zone")),
+    ("dropped_objects", "EFFECTIVE_CUE",
+     ("tool lanyard arrested dynamic fall", "drop netting caught clamp", "toe boards installed and held")),
+    ("dropped_objects", "COMPROMISED_CUE",
+     ("drop netting absent", "tool untethered and fell", "object fell through grating")),
+    ("dropped_objects", "EXPOSURE_CUE", ("working below scaffold", "under elevated platform", "in drop zone")),
 )
 
 # Precursor -> (severity, keywords).
