@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 16, 30  # powers of two of the number of bits; the largest filter has 128 MB
+LEAST, MOST = 16, 27  # powers of two of the number of bits; the largest filter has 16 MB
 
 
 class BitFilter:
@@ -23,9 +23,8 @@ class BitFilter:
         bits = hashes.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("bit"))
         words = bits.select(F.shiftright("bit", 5).alias("cell"), F.expr("shiftleft(1L, cast(bit & 31 as int))").alias("w"))
         cells = np.zeros(1 << (self.power - 5), np.uint32)
-        # at most 2 ** (MOST - 5) rows, one partition at a time
-        for row in words.groupBy("cell").agg(F.bit_or("w").alias("w")).toLocalIterator():
-            cells[row.cell] = row.w
+        held = words.groupBy("cell").agg(F.bit_or("w").alias("w")).toArrow()  # at most 2 ** (MOST - 5) rows of two longs
+        cells[held.column("cell").to_numpy()] = held.column("w").to_numpy().astype(np.uint32)
         self.cells = hashes.sparkSession.sparkContext.broadcast(cells)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
