@@ -64,13 +64,13 @@ def fit_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "t
                  per_language: int = 2000, size: int = PROFILE) -> dict[str, list[int]]:
     """Rank-ordered profile of every language among the labelled rows.
 
-    The model is fitted on at most ``per_language`` whole texts of each language, taken in the order of
-    a hash of their id. Null languages and null texts are left out. The driver gets ``size`` numbers a language.
+    The model is fitted on whole texts, about ``per_language`` of each language, or all where there are fewer: those
+    whose id has a small hash. Null languages and null texts are left out. The driver gets ``size`` numbers a language.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    chosen = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
+    share = F.create_map(*[F.lit(x) for lang, n in rows.groupBy("lang").count().collect() for x in (lang, per_language / n)] or [F.lit(""), F.lit(0.0)])
+    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
