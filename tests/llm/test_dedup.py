@@ -78,7 +78,7 @@ def test_similar_sets(docs, texts, words, num, den):
 
 
 def test_similar_sets_join_over_small_tries(docs, texts, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL", 2)
+    monkeypatch.setattr(jaccard, "CELL", 150)
     rows = jaccard.group_similar(docs, 4).collect()
     root = components({i: shingles(t, 4) for i, t in enumerate(texts)}, 85, 100)
     assert {r.doc_id: r.component_id for r in rows} == root

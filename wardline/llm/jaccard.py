@@ -8,15 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.bits import BitFilter
 from wardline.llm.words import by_bytes, shingle_set, signed, utf8, word_hashes
 from wardline.plans.scale import shared_folder
 
-OFTEN = 4  # n-grams that so many texts of one slice hold are counted as frequent
+OFTEN = 2  # n-grams that so many texts of any one slice hold are counted as frequent
 FREQUENT = 1 << 17  # frequent n-grams that the global order puts last; bounds the broadcast, not the result
-CELL = 8192  # sets in one trie
+CELL = 4_000_000  # n-grams in the sets of one trie, on average
 
 
 def similar(common, size_a, size_b, num: int, den: int):
@@ -38,9 +40,10 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray]):
         tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+        place = place.astype(np.int32)
         often = np.bincount(place)
-        rank = np.empty(len(tokens), np.int64)
-        rank[np.lexsort((tokens, -often))] = np.arange(len(tokens))  # frequent first: long shared paths
+        rank = np.empty(len(tokens), np.int32)
+        rank[np.lexsort((tokens, -often))] = np.arange(len(tokens), dtype=np.int32)  # frequent first: long shared paths
         bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         ranked = [np.sort(rank[place[a:b]]) for a, b in zip(bounds, bounds[1:])]
         # sets in the middle of the crowd are asked first: they meet most others
@@ -87,7 +90,7 @@ class Trie:
         self.kids = kids
         self.first = np.searchsorted(self.parent[kids], np.arange(len(end)), "left")
         self.last = np.searchsorted(self.parent[kids], np.arange(len(end)), "right")
-        self._member = np.zeros(self.width, np.int64)
+        self._member = np.zeros(self.width, np.int32)
 
     def query(self, i: int, num: int, den: int) -> np.ndarray:
         """The sets similar to set ``i``."""
@@ -144,6 +147,11 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def _id_hash(value) -> int:
+    """Spark's ``xxhash64`` of the id as text."""
+    return xxhash.xxh64_intdigest(b"" if value is None else str(value).encode(), seed=42)
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label) with the smallest node reachable over ``edges`` (a, b), by label spreading and jumping.
 
@@ -176,12 +184,12 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
     that share an id count as one document each and may share a component through it; null ids come last in a
     component. Other columns are not read.
 
-    1. Equal sets become one class. Every class stores the beginning of its set in a global order (hash order,
-       frequent n-grams last): similar sets share one of these n-grams, so only classes that do go on.
-    2. Classes with the same first n-gram share a trie (large groups are dealt over tries of ``CELL`` sets),
-       which joins most of them.
-    3. Beginnings that still connect different groups give pairs, pruned by size and place, and every pair
-       left is compared. This step makes the result exact whatever step 2 did.
+    1. Equal sets become one class. Classes with the same first n-gram in hash order share a trie (large groups
+       are dealt over tries of ``CELL`` n-grams), which joins most of what is similar.
+    2. Every class stores the beginning of its set in a global order (hash order, frequent n-grams last). Similar
+       sets share one of these n-grams at a fitting size. Bit filters drop the others where they lie.
+    3. Beginnings that still connect different groups give pairs, pruned by size, place and the number of common
+       n-grams, and every pair left is compared. This step makes the result exact whatever step 1 did.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/jaccard-{uuid.uuid4().hex}"
@@ -197,7 +205,8 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in digests], pa.int64()),
-                pa.array([x[1] for x in digests], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()),
+                pa.array([x[1] for x in digests], pa.int64()),
+                pa.array([int(signed(s[:1])[0]) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()),
             ], names)
             tokens, often = np.unique(np.concatenate(sets), return_counts=True)
             tokens, often = tokens[often >= OFTEN], often[often >= OFTEN]
@@ -209,8 +218,8 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows.mapInArrow(profile, f"id {kind}, n long, d long, e long, token long, weight long").write.parquet(f"{folder}/profile")
     profiles = spark.read.parquet(f"{folder}/profile")
-    classes = profiles.filter("n is not null").select("id", "n", "d", "e")
-    top = profiles.filter("n is null").groupBy("token").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "token").limit(FREQUENT)
+    classes = profiles.filter("weight is null").select("id", "n", "d", "e", F.col("token").alias("first"))
+    top = profiles.filter("weight is not null").groupBy("token").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "token").limit(FREQUENT)
     top = np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(top))
 
@@ -240,32 +249,56 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
     texts = rows.select("text").mapInArrow(beginning, "token long, d long, e long, n int, place int")
     texts.write.parquet(f"{folder}/beginnings")
     starts = spark.read.parquet(f"{folder}/beginnings")
-    shared = starts.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a <> b").select("token")
-    starts.join(shared, "token", "left_semi").distinct().write.parquet(f"{folder}/shared")
-    starts = spark.read.parquet(f"{folder}/shared")
-
-    # one document of each class that goes on carries its text
-    some = starts.select("d", "e").distinct()
-    carrier = classes.groupBy("d", "e").agg(F.min("id").alias("carrier")).join(some, ["d", "e"], "left_semi").select("carrier")
-
-    def keep_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
-            sets = [s for s in sets_of(utf8(batch.column("text"))) if len(s)]
-            digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in digests], pa.int64()), pa.array([x[1] for x in digests], pa.int64()),
-                pa.array([signed(s[:1])[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], ["d", "e", "first", "tokens"])
+    # of two classes alone at an n-gram the sizes are known; more, or copies of one class, are looked at later
+    shared = starts.groupBy("token").agg(
+        F.min("d").alias("a"), F.max("d").alias("b"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")
+    ).filter((F.col("a") != F.col("b")) & ((F.col("rows") > 2) | (den * F.col("low") >= num * F.col("high")))).select("token")
+    shared.write.parquet(f"{folder}/tokens")
+    shared = spark.read.parquet(f"{folder}/tokens")
+    met = BitFilter(shared, shared.count())
+
+    def may_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(met.has(batch.column("token").to_numpy())))
 
-    carried = rows.join(carrier, F.col("id").eqNullSafe(F.col("carrier")), "left_semi").select("text")
-    carried.mapInArrow(keep_sets, "d long, e long, first long, tokens binary").dropDuplicates(["d", "e"]).write.parquet(f"{folder}/sets")
-    sets = spark.read.parquet(f"{folder}/sets")
+    starts.mapInArrow(may_meet, starts.schema).write.parquet(f"{folder}/shared")
+    starts = spark.read.parquet(f"{folder}/shared")
 
-    sizes = sets.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = sets.join(sizes, "first").withColumn("cell", F.pmod("d", F.ceil(F.col("n") / CELL)))
+    def named(ids: DataFrame) -> BitFilter:
+        """Filter of documents by the hash of their id as text."""
+        hashes = ids.select(F.xxhash64(F.coalesce(F.col(ids.columns[0]).cast("string"), F.lit(""))))
+        return BitFilter(hashes, hashes.count())
+
+    def sets_where(wanted: BitFilter, unless: BitFilter | None = None) -> DataFrame:
+        """Sets of the documents that the filter lets through: some others may come too."""
+
+        def keep_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, "text", 2 << 20):
+                ids = np.array([_id_hash(i) for i in batch.column("id").to_pylist()], np.uint64)
+                hit = wanted.has(ids) & ~unless.has(ids) if unless else wanted.has(ids)
+                texts = utf8(batch.column("text"))
+                sets = [x for x in sets_of([texts[i] for i in np.flatnonzero(hit)]) if len(x)]
+                digests = [_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x[0] for x in digests], pa.int64()), pa.array([x[1] for x in digests], pa.int64()),
+                    pa.array([int(signed(x[:1])[0]) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()),
+                ], ["d", "e", "first", "tokens"])
+
+        return rows.mapInArrow(keep_sets, "d long, e long, first long, tokens binary")
+
+    carriers = classes.filter("n > 0").groupBy("d", "e").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("n").alias("n"))
+    carriers.write.parquet(f"{folder}/classes")
+    carriers = spark.read.parquet(f"{folder}/classes")
+    firsts = carriers.groupBy("first").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size")).filter("sets > 1")
+    firsts = firsts.select("first", F.ceil(F.col("size") / CELL).alias("cells"))
+    # copies beside a carrier stay away from the tries; what that filter keeps away by mistake, step 3 still finds
+    copies = classes.filter("n > 0").select("id", "d", "e").join(carriers.withColumnRenamed("id", "own"), ["d", "e"]).filter(~F.col("id").eqNullSafe(F.col("own")))
+    dealt = sets_where(named(carriers.join(firsts, "first", "left_semi").select("id")), named(copies.select("id"))).join(firsts, "first")
+    dealt = dealt.withColumn("cell", F.pmod("d", "cells"))
 
     def join_trie(table: pa.Table) -> pa.Table:
-        found = clusters([np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()], num, den)
+        table = table.group_by(["d", "e"], use_threads=False).aggregate([("tokens", "min")])
+        found = clusters([np.frombuffer(t, np.uint64) for t in table.column("tokens_min").to_pylist()], num, den)
         d, e = (table.column(c).to_numpy() for c in ("d", "e"))
         return pa.table({"d": d, "e": e, "group_d": d[found], "group_e": e[found]})
 
@@ -278,7 +311,7 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
     placed = starts.select("token", key.alias("key"), "n", "place").join(known, "key", "left")
     placed = placed.withColumn("group", F.coalesce("group", "key"))
     mixed = placed.select("token", F.xxhash64("group").alias("g")).groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b"))
-    placed = placed.join(mixed.filter("a <> b").select("token"), "token", "left_semi")
+    placed = placed.join(mixed.filter("a <> b").select("token"), "token", "left_semi").distinct()  # copies repeat their class
     left, right = (placed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "group", "n", "place")]) for side in "ab")
     # before the shared n-gram at most the shorter beginning is common, after it at most the shorter rest
     most = F.least("a_place", "b_place") + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
@@ -286,8 +319,16 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
         (F.col("a_key") < F.col("b_key")) & (F.col("a_group") != F.col("b_group"))
         & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
         & ((num + den) * most >= num * (F.col("a_n") + F.col("b_n")))
-    ).select("a_key", "b_key", "a_group", "b_group").distinct()
-    held = sets.select(key.alias("key"), "tokens")
+    ).groupBy("a_key", "b_key", "a_group", "b_group", "a_n", "b_n").agg(F.count(F.lit(1)).alias("common"))
+    # what is not among the common beginnings lies behind the beginning of one of the two
+    rest = F.floor((num * F.greatest("a_n", "b_n") + (den - 1)) / den) - 1
+    pairs = pairs.filter((num + den) * (F.col("common") + rest) >= num * (F.col("a_n") + F.col("b_n")))
+    pairs = pairs.select("a_key", "b_key", "a_group", "b_group")
+    pairs.write.parquet(f"{folder}/pairs")
+    pairs = spark.read.parquet(f"{folder}/pairs")
+    asked = pairs.select(F.col("a_key").alias("key")).unionByName(pairs.select(F.col("b_key").alias("key"))).distinct()
+    asked = asked.join(carriers.select(key.alias("key"), "id"), "key").select("id")
+    held = sets_where(named(asked)).select(key.alias("key"), "tokens")
     pairs = pairs.join(held.withColumnsRenamed({"key": "a_key", "tokens": "a_tokens"}), "a_key")
     pairs = pairs.join(held.withColumnsRenamed({"key": "b_key", "tokens": "b_tokens"}), "b_key")
 
