@@ -46,6 +46,19 @@ def test_repeats_with_branches_and_null_ids(spark):
     assert got == want
 
 
+def test_repeats_of_texts_that_share_an_id(spark):
+    a, b, c = ([f"{x}{i}" for i in range(30)] for x in "abc")
+    rows = [(None, a + b), (None, c[:7] + a), (None, c[:3]), (None, c[:3]), (3, b + c), (3, b), (3, c[4:]), (3, a[:9] + b[2:]), (4, c), (4, c), (5, a), (None, None)]
+    frame = spark.createDataFrame([(i, w and " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    digest = {r.text: r.h for r in frame.selectExpr("text", "xxhash64(text) as h").collect()}
+    rows = [(i, w and " ".join(w)) for i, w in rows]
+    named = sorted({(-1 if i is None else i, digest[t], t or "") for i, t in rows})
+    want = repeats([((i, d), t) for i, d, t in named], 20)
+    want = sorted((i, *want[i, d]) for i, d in ((-1 if i is None else i, digest[t]) for i, t in rows))
+    got = substring.drop_repeats(frame).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
 def test_empty_tables(none):
     assert substring.drop_repeats(none).collect() == []
     assert jaccard.group_similar(none).collect() == []
