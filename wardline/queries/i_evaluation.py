@@ -67,7 +67,7 @@ def _(t):
 def _(t):
     """Hashed TF-IDF vectors of the narratives not embedded yet (no SQL twin: hashing)."""
     done = t.labels.filter("toxic = 1").select(F.col("doc_id"), F.lit("tfidf").alias("model"), F.lit("1").alias("version"))
-    out = sim.embed(t.documents, "doc_id", "text", "tfidf", "1", done, features=512)
+    out = sim.embed(t.documents, "doc_id", "text", "tfidf", "1", done)
     return out.select("doc_id", "model", "version", F.size("vector").alias("size"), rounded(sim.dot(F.col("vector"), F.col("vector")), 3).alias("length"))
 
 

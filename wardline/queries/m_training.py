@@ -2,6 +2,7 @@
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -102,11 +103,22 @@ def _(t):
     return tr.label_audit(reports(t).withColumn("effective_label", F.col("raw_label") == "1"))
 
 
+def described(documents):
+    return documents.withColumns({"long": F.col("n_chars") > 2000, "source": F.when(F.col("doc_id") % 9 > 0, F.col("source"))})
+
+
 def labelled(t):
-    return t.documents.join(t.labels, "doc_id").withColumns({
-        "label": F.col("quality").cast("double"), "long": F.col("n_chars") > 2000,
-        "source": F.when(F.col("doc_id") % 9 > 0, F.col("source")),
-    })
+    return described(t.documents.join(t.labels, "doc_id")).withColumn("label", F.col("quality").cast("double"))
+
+
+def inputs(df, categories):
+    return tr.encode_inputs(df, ["long"], categories).withColumn("_text", F.coalesce("text", F.lit("")))
+
+
+def combined(categories):
+    """Stages from ``inputs`` to text and structure in one vector."""
+    both = VectorAssembler(inputCols=["text_features", "structured"], outputCol="combined")
+    return [*tr.text_stages("_text"), tr.encoder(["long"], categories), both]
 
 
 @query("t4_encode")
@@ -136,20 +148,19 @@ def _(t):
 @query("t6_out_of_fold")
 def _(t):
     """Boosted trees with grid search on F2; out-of-fold scores of every row (no SQL twin: model)."""
-    rows = tr.encode_inputs(labelled(t), ["long"], ["source", "lang"])
-    ready = tr.encoder(["long"], ["source", "lang"]).fit(rows).transform(rows)
-    ready = tr.fold(tr.class_weight(ready), "doc_id", 3)
-    _, held_out, _ = tr.train_boosted(ready, "structured", (2,), (0.1, 0.2), (3,), 3)
+    rows = inputs(labelled(t), ["source", "lang"])
+    ready = Pipeline(stages=combined(["source", "lang"])).fit(rows).transform(rows)
+    ready = tr.fold(tr.class_weight(ready.select("doc_id", "label", "combined")), "doc_id")
+    _, held_out, _ = tr.train_boosted(ready, "combined")
     return held_out.select("doc_id", "fold", "oof_score")
 
 
 @query("t9_score")
 def _(t):
     """Text and structure to probability, decision, band and sparse flag (no SQL twin: model)."""
-    rows = tr.encode_inputs(labelled(t), ["long"], ["source"])
-    stages = [*tr.text_stages("text", features=512, bigrams=False), LogisticRegression(featuresCol="text_features", maxIter=10)]
-    model = Pipeline(stages=stages).fit(rows)
-    return tr.score(t.documents, model, "doc_id", "text")
+    stages = [*combined(["source"]), LogisticRegression(featuresCol="combined")]
+    model = Pipeline(stages=stages).fit(inputs(labelled(t), ["source"]))
+    return tr.score(inputs(described(t.documents), ["source"]), model, "doc_id", "text")
 
 
 @query(
@@ -216,7 +227,7 @@ def _(t):
 def _(t):
     """Text, structured and combined classifiers on a random and a group-disjoint split (no SQL twin: models)."""
     df = labelled(t).withColumn("grp", F.concat_ws("_", F.coalesce("source", F.lit("none")), "lang"))
-    out = tr.baselines(df, "doc_id", "text", ["source", "lang"], "quality", "grp", features=128, max_iter=5)
+    out = tr.baselines(df, "doc_id", "text", ["source", "lang"], "quality", "grp")
     return out.select("split", "model", "accuracy", "f1", "f2", "roc_auc", "pr_auc")
 
 
