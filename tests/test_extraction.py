@@ -79,7 +79,7 @@ def test_entity_cascade(spark):
     assert resolve(spark, "north platfrom x", tax)[1] == "UNCERTAIN"
     assert resolve(spark, "north platforn", tax) == ("North Platform", "SUGGESTED", 0.93)
     assert resolve(spark, "platform aaaaaaac", tax)[:2] == ("platform aaaaaaac", "UNCERTAIN")
-    assert resolve(spark, "Boom  Lift BL-40", TAXONOMIES["equipment"]) == ("Boom Lift", "MAPPED", 0.98)
+    assert resolve(spark, "Boom  Lift BL-40", TAXONOMIES["equipment"]) == ("Boom Lift / MEWP", "MAPPED", 0.98)
     assert resolve(spark, None, tax)[1] == "UNKNOWN"
 
 

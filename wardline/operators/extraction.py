@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.codes import first_entry
 from wardline.functions.patterns import guard_text, may_match
 from wardline.functions.text import any_of, collapse, strip
 from wardline.operators.filters import DEFICIENT_STATES
@@ -25,9 +24,14 @@ def _exact(table: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(F.str_to_map(F.lit(text), F.lit(SEP), F.lit(PAIR)), key)
 
 
+def _entries(table: Mapping[str, str]) -> Column:
+    """The table as one literal array of structs with fields 0 (key) and 1 (value)."""
+    return F.arrays_zip(F.split(F.lit(SEP.join(table)), SEP), F.split(F.lit(SEP.join(table.values())), SEP))
+
+
 def _inside(table: Mapping[str, str], phrase: Column) -> Column:
     """Value of the first table key held by the phrase."""
-    return first_entry(list(table.items()), lambda k: F.contains(phrase, k))
+    return F.get(F.filter(_entries(table), lambda e: F.contains(phrase, e["0"])), F.lit(0))["1"]
 
 
 def _words(text: Column) -> Column:
@@ -59,7 +63,8 @@ def extract_activity(
     steps = [
         F.when(usable, found(_exact(rules.aliases, key), "exact_alias")),
         F.when(usable, found(
-            first_entry(list(rules.aliases.items()), lambda k: F.contains(key, k) | F.contains(k, key)), "substring_alias")),
+            F.get(F.filter(_entries(rules.aliases), lambda e: F.contains(key, e["0"]) | F.contains(e["0"], key)), F.lit(0))["1"],
+            "substring_alias")),
     ]
     for pattern in rules.temporal:
         said = phrase(pattern)
@@ -80,7 +85,8 @@ def extract_activity(
     steps.append(F.when(usable & (_words(key) <= 4), found(F.lit("OTHER_KNOWN_ACTIVITY"), "structured_identity")))
     df = once(df, _hit=F.coalesce(*steps, found(F.lit("UNKNOWN_ACTIVITY"), "unknown_indeterminate")))
     label = F.coalesce(_exact(rules.labels, F.col("_hit.category")), F.col("_hit.category"))
-    name = F.when(F.col("_hit.method") == "structured_identity", F.initcap("_raw")).otherwise(label)
+    shown = (F.col("_hit.method") == "exact_alias") & F.col("_key").isin(*rules.shown)
+    name = F.when(F.col("_hit.method") == "structured_identity", F.initcap("_raw")).when(shown, F.col("_raw")).otherwise(label)
     return df.withColumns({
         "activity": name, "activity_category": F.col("_hit.category"), "activity_method": F.col("_hit.method"),
     }).drop("_raw", "_text", "_key", "_hit")
