@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.operators import entities as e
+from wardline.operators import lookup
 from wardline.operators import tagging as g
 from wardline.queries.registry import query
 from wardline.queries.sqltext import WS, lines_sql, quote, ratio_sql, span_sql, values_sql
@@ -319,3 +320,74 @@ def _(t):
 
 
 __all__ = ["TAXONOMIES"]
+
+
+# A taxonomy as a table: a name per part, four spellings each.
+NAMES = """select 'asset' as entity_type, canonical, alias, is_canonical, p_partkey as position from (
+    select p_partkey, p_name || ' unit ' || p_partkey as canonical, p_name || ' unit ' || p_partkey as alias, true as is_canonical from part
+    union all select p_partkey, p_name || ' unit ' || p_partkey, 'pt ' || k || ' ' || p_partkey, false from part, (values (0), (1), (2), (3)) ks(k))"""
+RAWS = """case l_orderkey % 8 when 0 then upper(p_name) || ' Unit-' || l_partkey when 1 then 'PT_' || (l_orderkey // 8 % 4) || '/' || l_partkey
+  when 2 then 'repair of ' || p_name || ' unit ' || l_partkey || ' (done)' when 3 then p_name || ' nit ' || l_partkey
+  when 4 then p_name || ' xunity ' || l_partkey when 5 then 'unspecified' when 6 then null else 'Order ' || l_orderkey end"""
+
+
+def part_names(t):
+    name = F.concat("p_name", F.lit(" unit "), F.col("p_partkey").cast("string"))
+    spellings = F.array(F.struct(name.alias("alias"), F.lit(True).alias("is_canonical")), *[
+        F.struct(F.concat(F.lit(f"pt {k} "), F.col("p_partkey").cast("string")).alias("alias"), F.lit(False).alias("is_canonical")) for k in range(4)])
+    return t.part.select(F.lit("asset").alias("entity_type"), name.alias("canonical"), F.inline(spellings), F.col("p_partkey").alias("position"))
+
+
+def part_values(t):
+    r, part = F.col("l_orderkey") % 8, F.col("l_partkey").cast("string")
+    raw = (
+        F.when(r == 0, F.concat(F.upper("p_name"), F.lit(" Unit-"), part))
+        .when(r == 1, F.concat(F.lit("PT_"), F.expr("cast(l_orderkey div 8 % 4 as string)"), F.lit("/"), part))
+        .when(r == 2, F.concat(F.lit("repair of "), "p_name", F.lit(" unit "), part, F.lit(" (done)")))
+        .when(r == 3, F.concat("p_name", F.lit(" nit "), part)).when(r == 4, F.concat("p_name", F.lit(" xunity "), part))
+        .when(r == 5, "unspecified").when(r == 7, F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")))
+    )
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
+
+
+@query(
+    "e3_resolve_by_table",
+    f"""with names as materialized ({NAMES}),
+    v as materialized (select l_orderkey, l_linenumber, l_partkey, raw, {key_sql('raw')} as key
+      from (select l_orderkey, l_linenumber, l_partkey, {RAWS} as raw from lineitem join part on l_partkey = p_partkey)),
+    keys as materialized (select distinct key from v where key not in ({MARKERS})),
+    whole as (select key, arg_min(canonical, (not is_canonical, position)) as canonical, not bool_or(is_canonical) as spelled
+      from keys join names on alias = key group by 1),
+    rest as materialized (select key from keys anti join whole using (key)),
+    inside as materialized (select key, arg_min(canonical, (-length(alias), not is_canonical, position)) as canonical
+      from (select key, unnest(list_distinct(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(i, len(w) + 1),
+        lambda j: array_to_string(w[i:j], ' ')))))) as alias from (select key, string_split(key, ' ') as w from rest)) join names using (alias) group by 1),
+    sim as (select key, canonical, greatest(length(key), length(alias)) as len, levenshtein(key, alias) as lev
+      from (select key from rest anti join inside using (key)) join names on is_canonical and length(key) >= 4 and abs(length(key) - length(alias)) <= 4),
+    ok as (select *, (len - lev) / len::double as s from sim where (len - lev) * 100 >= 88 * len),
+    near as (select key, count(*) as n, max_by(canonical, (s, canonical)) as canonical, max(len - lev) as num, max_by(len, (s, canonical)) as den
+      from (select *, max(s) over (partition by key) as m from ok) where s >= m - 0.03 - 1e-9 group by 1)
+    select l_orderkey, l_linenumber, l_partkey,
+      case when v.key in ({MARKERS}) then '' when w.key is not null then w.canonical when i.key is not null then i.canonical
+        when n = 1 then near.canonical else raw end as canonical,
+      case when v.key in ({MARKERS}) then 'UNKNOWN' when w.key is not null then case when spelled then 'MAPPED' else 'CANONICAL' end
+        when i.key is not null then 'MAPPED' when n = 1 then 'SUGGESTED' else 'UNCERTAIN' end as status
+    from v left join whole w on w.key = v.key left join inside i on i.key = v.key left join near on near.key = v.key""",
+)
+def _(t):
+    out = lookup.resolve_by_table(part_values(t), {"raw": "asset"}, part_names(t), containment=["asset"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "raw_entity.canonical", "raw_entity.status")
+
+
+@query(
+    "e6_resolve_first_by_table",
+    """select c_custkey, case when c_nationkey < 20 and c_custkey % 3 > 0 then 'NATION_' || c_nationkey else 'UNKNOWN' end as site,
+      case when c_nationkey < 20 and c_custkey % 3 = 1 then 'region' when c_nationkey < 20 and c_custkey % 3 = 2 then 'location' end as site_field
+      from customer""",
+)
+def _(t):
+    table = lookup.load_taxonomy(t.nation.filter("n_nationkey < 20").withColumn("short", F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"))), "site", "n_name", "short", "n_nationkey")
+    nation, r = F.col("c_nationkey").cast("string"), F.col("c_custkey") % 3
+    df = t.customer.select(
+        "c_custkey", F.when(r == 1, F.concat(F.lit("Nation "), nation)).alias("region"), F.when(r == 2, F.concat(F.lit("N-"), nation)).alias("location"))
+    return lookup.resolve_first_by_table(df, ["region", "location"], "site", table).select("c_custkey", "site", "site_field")

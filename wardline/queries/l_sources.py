@@ -11,6 +11,7 @@ from wardline.queries.registry import query
 from wardline.queries.sqltext import quote
 from wardline.rules.fields import UUID_DNS_NAMESPACE
 from wardline.sources import readers as r
+from wardline.sources import store
 from wardline.sources import writers as w
 
 
@@ -202,4 +203,42 @@ def _(t):
     return w.backfill(t.documents.select("doc_id", "n_chars"), t.labels, ["doc_id"], force=True)
 
 
+@query(
+    "a9_append_stored",
+    """select o_custkey, o_orderstatus, min(o_orderkey) % 1 as n from orders group by 1, 2""",
+)
+def _(t):
+    """Three batches and a repeat of the first; every (customer, status) is stored once."""
+    path, rows = work_folder(t.spark, "a9"), t.orders.select("o_custkey", "o_orderstatus", "o_orderkey", (F.col("o_orderkey") % 1).alias("n"))
+    for batch in (0, 1, 2, 0):
+        store.append_batch(rows.filter(F.col("o_orderkey") % 3 == batch).drop("o_orderkey"), path, ["o_custkey", "o_orderstatus"], f"b{batch}", 16)
+    return store.read_store(t.spark, path)
+
+
+@query(
+    "a10_replace_stored",
+    """select o_custkey, arg_max(o_orderkey, (o_orderkey % 2, o_orderkey)) as o_orderkey, arg_max(o_orderstatus, (o_orderkey % 2, o_orderkey)) as o_orderstatus
+      from orders group by 1""",
+)
+def _(t):
+    """Orders with even keys, then those with odd keys in their place, then those again; each customer keeps the last order."""
+    path, rows = work_folder(t.spark, "a10"), t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
+    for batch in (0, 1, 1):
+        store.replace_batch(rows.filter(F.col("o_orderkey") % 2 == batch), path, ["o_custkey"], f"b{batch}", "o_orderkey", 16)
+    return store.read_store(t.spark, path)
+
+
+@query(
+    "a11_backfill_stored",
+    """select doc_id, case when doc_id in (select doc_id from labels) then 'first' else 'second' end as run, n_chars * 2 as score from documents""",
+)
+def _(t):
+    """Results of the labelled documents, then of all that have none yet."""
+    path, docs = work_folder(t.spark, "a11"), t.documents.select("doc_id", "n_chars")
+    run = lambda name: lambda df: df.select("doc_id", F.lit(name).alias("run"), (F.col("n_chars") * 2).alias("score"))
+    store.backfill_batch(docs.join(t.labels, "doc_id", "left_semi"), path, ["doc_id"], "one", run("first"), buckets=16)
+    store.backfill_batch(docs, path, ["doc_id"], "two", run("second"), buckets=16)
+    return store.read_store(t.spark, path)
+
+
 __all__ = ["quote"]
