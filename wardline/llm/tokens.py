@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from wardline.llm.words import by_bytes, utf8
 
 MEMO = 400_000  # pieces, and half the words, that a worker remembers; beyond that it starts afresh
 BATCH_BYTES = 1 << 18  # bytes that one call of the library gets
+TOGETHER = 1000  # words encoded as one text
 MARKS = b".,;:!?%#*&$"
+WORD_END = "</w>"  # of the last token of a word, in vocabularies that mark it
 _KEPT: dict[tuple[str, str], Encoder] = {}
 
 
@@ -27,6 +30,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        last = np.zeros(0, bool)
         if path.endswith(".model"):
             import sentencepiece
 
@@ -40,12 +44,17 @@ class Encoder:
             model.no_padding()
             model.no_truncation()
             self.size = model.get_vocab_size()
-            self._encode = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+            batch = getattr(model, "encode_batch_fast", model.encode_batch)  # the same ids without offsets, where there is one
+            self._encode = lambda texts: [e.ids for e in batch(texts, add_special_tokens=False)]
+            tokens = sorted(model.get_vocab().items(), key=lambda t: t[1])
+            last = np.zeros(tokens[-1][1] + 1, bool)
+            last[[i for t, i in tokens if t.endswith(WORD_END)]] = True
         probes = ["a b", "a\n b", "A\t.b", "é  1x", "Don't .,", "x9 %%%"]
         ends = ["Ab .,", "é !?", "9 ***"]  # here the blank itself must not matter
         self.cuts = all(
             self._encode([p])[0] == [i for part in p.split() for i in self._encode([part])[0]] for p in probes
         ) and all(self._encode([p])[0] == self._encode([p.replace(" ", "").lower()])[0] for p in ends)
+        self.ends = last if self.cuts and last.any() else None
         self._memo: dict = {}
         self._words: dict = {}
 
@@ -56,19 +65,6 @@ class Encoder:
             _KEPT[path, use] = cls(path)
         return _KEPT[path, use]
 
-    def pieces(self, text: bytes) -> list[bytes]:
-        """Parts that are encoded alone; small letters at once where no special string can be made by that."""
-        if self.cuts:
-            return text.split() if b"<" in text else text.lower().split()
-        return [text] if text else []
-
-    @classmethod
-    def of(cls, path: str, use: str) -> Encoder:
-        """The encoder that this worker keeps from task to task for one use."""
-        if (path, use) not in _KEPT:
-            _KEPT[path, use] = cls(path)
-        return _KEPT[path, use]
-
     def pieces(self, text: bytes) -> list[bytes]:
         return text.split() if self.cuts else [text] if text else []
 
@@ -84,11 +80,10 @@ class Encoder:
         asked.update(t for p, w in new if (t := p[len(w) :]) and t not in known)
         size, call, asked = 0, [], list(asked)
         for i, word in enumerate(asked):
-            call.append(word)
+            call.append(word.decode())
             size += len(word)
             if size >= BATCH_BYTES or i == len(asked) - 1:
-                for w, ids in zip(call, self._encode([w.decode() for w in call])):
-                    known[w] = value(ids)
+                known.update((w.encode(), value(ids)) for w, ids in self._each(call))
                 size, call = 0, []
         for piece, word in new:
             memo[piece] = known[word] + known[piece[len(word) :]] if len(word) < len(piece) else known[word]
@@ -96,6 +91,22 @@ class Encoder:
             self._memo, self._words = {}, {}
         return memo
 
+    def _each(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Ids of each word. Words of letters alone end in one token that says so: they are encoded as one text and its
+        ids cut at those tokens, unless their number is another one; then, and otherwise, each is a text.
+        """
+        if self.ends is not None:
+            plain, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+            groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+            for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) == len(group) and cuts[-1] == len(ids):
+                    yield from zip(group, [ids[a:b] for a, b in zip([0, *cuts], cuts)])
+                else:
+                    rest += group
+            words = rest
+        yield from zip(words, self._encode(words))
+
     def _word(self, piece: bytes) -> bytes:
         """The piece without the marks at its end: a letter or digit and a mark never share a token where white
         space may be cut. Pieces with ``<`` may hold special strings and stay whole.
