@@ -19,10 +19,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset, as in tests."""
+    """The shared folder that ``spark.checkpoint.dir`` names; unset, a local one in local mode, as in tests, and else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "folder" not in _LOCAL:
         _LOCAL["folder"] = tempfile.mkdtemp(prefix="wardline-")
     return _LOCAL["folder"]

@@ -33,8 +33,16 @@ def append_new(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
     return new.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``existing`` with the rows of ``new`` replacing or joining it by key."""
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """``existing`` with the rows of ``new`` replacing or joining it by key.
+
+    Of rows of ``new`` with one key the last by ``order`` counts, without it any one. ``store.replace_batch`` writes the result.
+    """
+    if order:
+        best = F.max_by(F.struct(*new.columns), F.struct(order, F.xxhash64(*new.columns))).alias("_row")
+        new = new.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best).select("_row.*")
+    else:
+        new = new.dropDuplicates(list(keys))
     return existing.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
