@@ -258,6 +258,17 @@ def decide(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     return df.withColumns({"decision": decision, "matched_rule": rule})
 
 
+def applicable_rules(df: DataFrame, hazard: str, book: fixed.RuleBook = fixed.RuleBook(), state: str | None = None) -> DataFrame:
+    """Adds ``applicable_rules``: ids of the catalogue's rules for the hazard, in order; with ``state`` only those that lead
+    to the state in that column. A hazard without rules, or a null one, gets an empty list.
+    """
+    rules = [F.struct(F.lit(rule).alias("rule"), F.lit(effect).alias("effect"), F.array(*[F.lit(h) for h in hazards]).alias("hazards"))
+             for rule, effect, hazards in book.catalogue()]
+    fits = lambda r: F.array_contains(r["hazards"], F.col(hazard)) & (F.lit(True) if state is None else r["effect"] == F.col(state))
+    found = F.transform(F.filter(F.array(*rules), fits), lambda r: r["rule"])
+    return df.withColumn("applicable_rules", F.coalesce(found, F.array().cast("array<string>")))
+
+
 def assess(df: DataFrame, cols: ReasoningColumns) -> DataFrame:
     """All steps in order; the helper columns are dropped at the end."""
     df = prepare(df, cols)

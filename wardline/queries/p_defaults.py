@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardline.operators import extraction as x
+from wardline.operators import reasoning
 from wardline.operators import tagging as g
 from wardline.queries.registry import query
 
@@ -93,3 +94,25 @@ MENTIONS = (
 def _(t):
     out = g.tag_rules(told(t, MENTIONS), "doc_id", {"description": "narrative"})
     return out.select("doc_id", "rule", F.array_join("keywords", ",").alias("keywords"), "match_type", "strength")
+
+
+# hazard, state
+HAZARDS = (
+    ("pressure_stored", "INSUFFICIENT_INFORMATION"), ("pressure_stored", "PSIF_PATHWAY_OPEN"), ("low_energy_general", "LOW_ENERGY"),
+    ("line_of_fire", "HIGH_ENERGY_CONTROLLED"), (None, "LOW_ENERGY"), ("rotating_equipment", "HIGH_ENERGY_CONTROLLED"),
+)
+
+
+@query(
+    "f7_applicable_rules",
+    """select doc_id, a as applicable, s as for_state from documents join (values
+      (0, 'PSIF-R-03,PSIF-R-08,PSIF-R-09,PSIF-R-11,PSIF-R-16', 'PSIF-R-11'), (1, 'PSIF-R-03,PSIF-R-08,PSIF-R-09,PSIF-R-11,PSIF-R-16', 'PSIF-R-03,PSIF-R-16'),
+      (2, 'PSIF-R-10', 'PSIF-R-10'), (3, 'PSIF-R-02,PSIF-R-07', ''), (4, '', ''), (5, 'PSIF-R-08,PSIF-R-09,PSIF-R-12', 'PSIF-R-08,PSIF-R-09')) v(i, a, s)
+      on doc_id % 6 = i""",
+)
+def _(t):
+    pick = lambda i: F.get(F.array(*[F.lit(c[i]).cast("string") for c in HAZARDS]), (F.col("doc_id") % len(HAZARDS)).cast("int"))
+    df = t.documents.select("doc_id", pick(0).alias("hazard"), pick(1).alias("state"))
+    both = reasoning.applicable_rules(df, "hazard").withColumnRenamed("applicable_rules", "all_rules")
+    both = reasoning.applicable_rules(both, "hazard", state="state")
+    return both.select("doc_id", F.array_join("all_rules", ",").alias("applicable"), F.array_join("applicable_rules", ",").alias("for_state"))
