@@ -8,15 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TYPE_ORDER = ("IMMEDIATE", "ESCALATION", "CORRECTIVE", "PREVENTIVE", "VERIFICATION", "POSITIVE_LEARNING")
-URGENCY_ORDER = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
-INTENTS = (
-    ("STOP_WORK", ("halt", "cease", "stop", "evacuate", "remove personnel", "extinguish", "clear personnel")),
-    ("RESTORE_BARRIER", ("re-establish", "restore", "install", "fit")),
-    ("VERIFY_ENERGY", ("verify", "survey", "test", "check")),
-    ("ESCALATE_SIF", ("escalat", "investigat")),
-    ("POSITIVE_LEARNING", ("learning", "document & share")),
-)
+from wardline.rules.actions import INTENTS, TYPE_ORDER, URGENCY_ORDER
 
 
 @dataclass(frozen=True)

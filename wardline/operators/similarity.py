@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -66,14 +66,35 @@ def related(
     return top_k(near, k, [F.col("similarity").desc(), F.col("related_id").asc()], ["target_id"])
 
 
-def hashed_vectors(df: DataFrame, text: str, features: int = 4096) -> DataFrame:
-    """Adds ``vector``: length-1 TF-IDF weights of hashed words."""
+def fit_vectors(df: DataFrame, text: str, features: int = 4096) -> PipelineModel:
+    """Model of length-1 TF-IDF weights of hashed words, fitted on all rows of ``df``."""
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features)
     weights = IDF(inputCol="_counts", outputCol="_weights", minDocFreq=1)
     scaled = Normalizer(inputCol="_weights", outputCol="_scaled")
+    return Pipeline(stages=[words, counts, weights, scaled]).fit(df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")))
+
+
+def kept_vectors(df: DataFrame, text: str, folder: str, model: str, version: str, features: int = 4096) -> PipelineModel:
+    """The model stored under (model, version); where there is none yet it is fitted on ``df`` and stored.
+
+    One version is one model, so a text has the same vector in every batch. A new version is fitted anew.
+    """
+    path = f"{folder}/{model}/{version}"
+    try:
+        return PipelineModel.load(path)
+    except Exception as missing:  # the file system decides which error a missing folder is
+        if "does not exist" not in str(missing) and "PATH_NOT_FOUND" not in str(missing):
+            raise
+    fitted = fit_vectors(df, text, features)
+    fitted.write().overwrite().save(path)
+    return fitted
+
+
+def hashed_vectors(df: DataFrame, text: str, features: int = 4096, fitted: PipelineModel | None = None) -> DataFrame:
+    """Adds ``vector``: length-1 TF-IDF weights of hashed words, by a fitted model or by one fitted on these rows."""
     base = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    out = Pipeline(stages=[words, counts, weights, scaled]).fit(base).transform(base)
+    out = (fitted or fit_vectors(df, text, features)).transform(base)
     return out.withColumn("vector", vector_to_array("_scaled", "float32")).drop(
         "_text", "_words", "_counts", "_weights", "_scaled"
     )
@@ -88,18 +109,21 @@ def embed(
     done: DataFrame | None = None,
     encoder: Callable | None = None,
     features: int = 4096,
+    folder: str | None = None,
 ) -> DataFrame:
     """(id, vector, model, version) for the narratives without a vector of this model and version.
 
     ``encoder`` is a pandas UDF over text (an iterator UDF loads its model once per task); the
-    default is hashed TF-IDF.
+    default is hashed TF-IDF. With ``folder`` its weights are fitted once, on all rows of ``df`` at the first batch of a
+    version, and kept there, so vectors of later batches compare with earlier ones; without it they are fitted on ``df``.
     """
     todo = df.select(id_col, text)
     if done is not None:
         have = done.filter((F.col("model") == model) & (F.col("version") == version)).select(id_col)
         todo = todo.join(have, id_col, "left_anti")
     if encoder is None:
-        out = hashed_vectors(todo, text, features)
+        fitted = kept_vectors(df, text, folder, model, version, features) if folder else fit_vectors(df, text, features)
+        out = hashed_vectors(todo, text, features, fitted)
     else:
         out = todo.withColumn("vector", encoder(F.col(text)))
     return out.select(id_col, "vector", F.lit(model).alias("model"), F.lit(version).alias("version"))

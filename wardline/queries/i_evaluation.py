@@ -6,6 +6,7 @@ from wardline.functions.codes import rounded
 from wardline.operators import evaluation as v
 from wardline.operators import sampling as s
 from wardline.operators import similarity as sim
+from wardline.plans.scale import work_folder
 from wardline.queries.b_filters import SCORED
 from wardline.queries.registry import query
 from wardline.queries.sqltext import pct_sql, ratio_sql
@@ -71,6 +72,17 @@ def _(t):
     return out.select("doc_id", "model", "version", F.size("vector").alias("size"), rounded(sim.dot(F.col("vector"), F.col("vector")), 3).alias("length"))
 
 
+@query("k3_embed_batches", "select doc_id, doc_id % 2 as batch, true as same from documents")
+def _(t):
+    """Vectors of two batches of one version, the second with other texts to fit on, equal those of the first batch's model."""
+    folder, docs = work_folder(t.spark, "vectors"), t.documents.select("doc_id", "text")
+    first = sim.embed(docs.filter("doc_id % 2 = 0"), "doc_id", "text", "tfidf", "1", folder=folder)
+    second = sim.embed(docs, "doc_id", "text", "tfidf", "1", first, folder=folder)
+    whole = sim.hashed_vectors(docs, "text", fitted=sim.kept_vectors(docs, "text", folder, "tfidf", "1")).select("doc_id", F.col("vector").alias("w"))
+    both = first.unionByName(second).join(whole, "doc_id")
+    return both.select("doc_id", (F.col("doc_id") % 2).alias("batch"), (F.col("vector") == F.col("w")).alias("same"))
+
+
 def members(t):
     return s.strata(F.col("score"), F.col("sparse"), F.when(F.col("incident_id") % 97 == 0, "yes").otherwise("no"), F.col("site"))
 
