@@ -106,6 +106,52 @@ def test_trie_finds_what_all_pairs_find(sets, num):
         assert trie.query(i, num, 100).tolist() == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=25, unique_by=frozenset), st.sampled_from([50, 80, 85]))
+def test_trie_of_beginnings_meets_all_similar_sets(sets, num):
+    whole = [np.array(sorted(s), np.uint64) for s in sets]
+    begin = [s[: jaccard.prefix_length(len(s), num, 100)] for s in whole]
+    trie = jaccard.Trie(begin, np.array([len(s) for s in whole]))
+    for i, a in enumerate(sets):
+        want = {j for j, b in enumerate(sets) if 100 * len(a & b) >= num * len(a | b)}
+        assert want <= set(trie.meet(i, num, 100).tolist())
+
+
+def test_variants_of_a_text_meet_in_tries_dealt_over_blocks(spark, monkeypatch):
+    for name, value in (("CELL", 150), ("FEW", 2), ("WIDE", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    draw = np.random.default_rng(5)
+    rows = []
+    for base in range(4):
+        words = [f"w{base}x{k}" for k in range(60 + 20 * base)]
+        for _ in range(25):
+            mine = list(words[: int(draw.integers(len(words) * 8 // 10, len(words) + 1))])
+            for at in draw.integers(0, len(mine), int(draw.integers(0, 4))):
+                mine[at] = f"v{draw.integers(1000)}"
+            rows.append((len(rows), " ".join(mine)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.group_similar(frame).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    assert got == components(sets, 85, 100)
+    assert 4 < len(set(got.values())) < 100
+
+
+def test_sketch_puts_frequent_ngrams_last(spark):
+    draw = np.random.default_rng(1)
+    often = draw.integers(0, 1 << 63, 5).astype(np.uint64)
+    rows = []
+    for part in range(3):
+        sketch = jaccard.Sketch()
+        sets = [np.unique(np.concatenate([often, draw.integers(0, 1 << 63, 50).astype(np.uint64)])) for _ in range(20)]
+        sketch.add(sets + sets, [(part, i) for i in range(20)] * 2)  # copies count once
+        assert sketch.counts[int(often[0]) & (jaccard.COUNTERS - 1)] == 20
+        rows += sketch.rows()
+    level = jaccard.levels(spark.createDataFrame(rows, "chunk int, counts binary"))
+    assert len(level) == jaccard.COUNTERS
+    at = lambda x: level[(x & np.uint64(jaccard.COUNTERS - 1)).astype(int)]
+    assert at(often).min() > np.median(at(np.setdiff1d(np.concatenate(sets), often)))
+
+
 def near(a, b):
     """Edit distance of at most 1."""
     if len(a) < len(b):

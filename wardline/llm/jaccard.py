@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.bits import BitFilter
-from wardline.llm.words import by_bytes, shingle_set, signed, utf8, word_hashes
+from wardline.llm.words import U, by_bytes, shingle_set, signed, utf8, word_hashes
 from wardline.plans.scale import shared_folder
 
-OFTEN = 2  # n-grams that so many texts of any one slice hold are counted as frequent
-FREQUENT = 1 << 17  # frequent n-grams that the global order puts last; bounds the broadcast, not the result
+COUNTERS, CHUNK = 1 << 23, 1 << 18  # counters of the sketch that orders n-grams by frequency, and of one row of it
+SKETCHED = 50_000  # texts counted before a sketch is handed on: 16 bits hold their counts
 CELL = 4_000_000  # n-grams in the sets of one trie, on average
+FEW = 4  # classes at an n-gram that meet by a plain join; more meet in a trie
+WIDE = 4096  # classes of either side in a trie of beginnings, on average
 
 
 def similar(common, size_a, size_b, num: int, den: int):
@@ -31,6 +33,12 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - (num * size + den - 1) // den + 1
 
 
+def least_common(size_a, size_b, num: int, den: int):
+    """How many n-grams the beginnings of two similar sets share at least: the rest lies behind one of them."""
+    need = -(-num * (size_a + size_b) // (num + den))
+    return np.maximum(1, need - (-(-num * np.maximum(size_a, size_b) // den) - 1))
+
+
 class Trie:
     """Sets, ordered by one global order, as paths that share their beginnings.
 
@@ -38,7 +46,8 @@ class Trie:
     the overlap of each path, and leaves a subtree when even the best of its sets could not be similar.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], whole: np.ndarray | None = None):
+        """``whole`` are the sizes of the sets that ``sets`` are the beginnings of."""
         tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
         place = place.astype(np.int32)
         often = np.bincount(place)
@@ -49,6 +58,7 @@ class Trie:
         # sets in the middle of the crowd are asked first: they meet most others
         self.order = np.argsort([-often[place[a:b]].mean() for a, b in zip(bounds, bounds[1:])], kind="stable")
         self.sets, self.size = ranked, np.diff(bounds)
+        self.whole = self.size if whole is None else whole
         walk = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
         self.flat = np.concatenate([ranked[i] for i in walk])
         at = np.concatenate([[0], np.cumsum(self.size[walk])])
@@ -79,8 +89,8 @@ class Trie:
         # sizes below each node: leaves upwards, deepest first
         low = np.full(len(end), np.iinfo(np.int64).max)
         high = np.zeros(len(end), np.int64)
-        np.minimum.at(low, self.leaf, self.size)
-        np.maximum.at(high, self.leaf, self.size)
+        np.minimum.at(low, self.leaf, self.whole)
+        np.maximum.at(high, self.leaf, self.whole)
         for node in np.argsort(-self.end, kind="stable"):
             p = self.parent[node]
             if p >= 0:
@@ -92,8 +102,8 @@ class Trie:
         self.last = np.searchsorted(self.parent[kids], np.arange(len(end)), "right")
         self._member = np.zeros(self.width, np.int32)
 
-    def query(self, i: int, num: int, den: int) -> np.ndarray:
-        """The sets similar to set ``i``."""
+    def _overlaps(self, i: int, keep) -> np.ndarray:
+        """Common n-grams of set ``i`` and every set, or -1 below nodes that ``keep(nodes, overlaps, n-grams left)`` gives up."""
         mine, size = self.sets[i], int(self.size[i])
         self._member[mine] = 1
         overlap = np.full(len(self.end), -1, np.int64)
@@ -111,14 +121,33 @@ class Trie:
             gained = np.add.reduceat(self._member[self.flat[spots]], heads)
             overlap[level] = overlap[self.parent[level]] + gained
             deepest = self.flat[self.offset[level] + runs - 1]
-            left = size - np.searchsorted(mine, deepest, "right")
-            best = np.clip(self.end[level] + left, self.low[level], self.high[level])  # the size that could do best
-            most = overlap[level] + np.minimum(left, best - self.end[level])
-            level = level[similar(most, size, best, num, den)]
+            level = level[keep(level, overlap[level], size - np.searchsorted(mine, deepest, "right"))]
         self._member[mine] = 0
-        common = overlap[self.leaf]
+        return overlap[self.leaf]
+
+    def query(self, i: int, num: int, den: int) -> np.ndarray:
+        """The sets similar to set ``i``."""
+        size = int(self.size[i])
+
+        def keep(node, common, left):
+            best = np.clip(self.end[node] + left, self.low[node], self.high[node])  # the size that could do best
+            return similar(common + np.minimum(left, best - self.end[node]), size, best, num, den)
+
+        common = self._overlaps(i, keep)
         return np.flatnonzero((common > 0) & similar(common, size, self.size, num, den))
 
+    def meet(self, i: int, num: int, den: int) -> np.ndarray:
+        """The sets that may be similar to set ``i`` as far as their beginnings tell."""
+        size = int(self.whole[i])
+
+        def keep(node, common, left):
+            least = np.minimum(least_common(size, self.low[node], num, den), least_common(size, self.high[node], num, den))
+            return common + left >= least
+
+        common = self._overlaps(i, keep)
+        near = den * np.minimum(size, self.whole) >= num * np.maximum(size, self.whole)
+        return np.flatnonzero((common > 0) & near & (common >= least_common(size, self.whole, num, den)))
+
 
 def clusters(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For every set the smallest index of the sets it is joined with. Sets that a query met are not asked again."""
@@ -152,6 +181,51 @@ def _id_hash(value) -> int:
     return xxhash.xxh64_intdigest(b"" if value is None else str(value).encode(), seed=42)
 
 
+class Sketch:
+    """How many texts hold the n-grams of each of ``COUNTERS`` hash values. It orders n-grams and decides no result."""
+
+    def __init__(self):
+        self.counts, self.seen = np.zeros(COUNTERS, np.uint16), set()
+
+    def add(self, sets: list[np.ndarray], digests: list[tuple[int, int]]) -> None:
+        """Counts the sets that are not copies of one that was counted here."""
+        new = []
+        for s, key in zip(sets, digests):
+            if len(s) and key not in self.seen:
+                self.seen.add(key)
+                new.append(s)
+        if new:
+            np.add.at(self.counts, np.concatenate(new) & U(COUNTERS - 1), np.uint16(1))
+
+    def rows(self) -> list[tuple[int, bytes]]:
+        """(chunk, packed counts of up to 255) of all counters."""
+        small, codec = np.minimum(self.counts, 255).astype(np.uint8), pa.Codec("zstd", 1)
+        return [(at // CHUNK, codec.compress(small[at : at + CHUNK].tobytes(), asbytes=True)) for at in range(0, COUNTERS, CHUNK)]
+
+
+def levels(sketches: DataFrame) -> np.ndarray:
+    """One byte a counter, higher for more frequent n-grams: ``COUNTERS`` bytes whatever the input.
+
+    ``sketches`` (chunk, counts) are added up where they lie after one shuffle, row by row.
+    """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, codec = {}, pa.Codec("zstd")
+        for batch in batches:
+            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total = sums.setdefault(chunk, np.zeros(CHUNK, np.uint64))
+                total += np.frombuffer(codec.decompress(counts, CHUNK), np.uint8)
+        for chunk, total in sums.items():
+            noise = np.median(total)  # what n-grams that meet by chance make of a counter
+            level = np.clip(100 + 24 * np.arcsinh((total - noise) / np.sqrt(noise + 1)), 0, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "level"])
+
+    out = np.zeros(COUNTERS, np.uint8)
+    for row in sketches.repartition("chunk").mapInArrow(add_up, "chunk int, level binary").collect():
+        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.level, np.uint8)
+    return out
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label) with the smallest node reachable over ``edges`` (a, b), by label spreading and jumping.
 
@@ -186,10 +260,12 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
 
     1. Equal sets become one class. Classes with the same first n-gram in hash order share a trie (large groups
        are dealt over tries of ``CELL`` n-grams), which joins most of what is similar.
-    2. Every class stores the beginning of its set in a global order (hash order, frequent n-grams last). Similar
-       sets share one of these n-grams at a fitting size. Bit filters drop the others where they lie.
-    3. Beginnings that still connect different groups give pairs, pruned by size, place and the number of common
-       n-grams, and every pair left is compared. This step makes the result exact whatever step 1 did.
+    2. Every class stores the beginning of its set in one global order: rare n-grams first by a sketch of fixed size
+       that all texts are counted in, hash order where it sees no difference. Similar sets share one of these n-grams
+       at a fitting size. Bit filters drop the others where they lie.
+    3. Beginnings that still connect different groups are met at each of their n-grams: up to ``FEW`` classes by a
+       join, more in a trie of what the beginnings share, which prunes by the number of common n-grams that sizes
+       demand. Every pair left is compared. This step makes the result exact whatever step 1 did.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/jaccard-{uuid.uuid4().hex}"
@@ -199,32 +275,40 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
         return [shingle_set(word_hashes(t or b"", lower=True), words) for t in texts]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "d", "e", "token", "weight"]
+        names = ["id", "n", "d", "e", "first", "chunk", "counts"]
+
+        def counted(sketch: Sketch) -> pa.RecordBatch:
+            chunks, counts = zip(*sketch.rows())
+            none = pa.nulls(len(chunks), pa.int64())
+            ids = none.cast(id_type)
+            return pa.RecordBatch.from_arrays([ids, none, none, none, none, pa.array(chunks, pa.int32()), pa.array(counts, pa.binary())], names)
+
+        sketch, id_type = Sketch(), None
         for batch in by_bytes(batches, "text"):
-            sets = sets_of(utf8(batch.column("text")))
+            sets, id_type = sets_of(utf8(batch.column("text"))), batch.column("id").type
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in digests], pa.int64()),
                 pa.array([x[1] for x in digests], pa.int64()),
-                pa.array([int(signed(s[:1])[0]) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()),
+                pa.array([int(signed(s[:1])[0]) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()),
+                pa.nulls(len(sets), pa.binary()),
             ], names)
-            tokens, often = np.unique(np.concatenate(sets), return_counts=True)
-            tokens, often = tokens[often >= OFTEN], often[often >= OFTEN]
-            none = pa.nulls(len(tokens), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(tokens), batch.column("id").type), none, none, none, pa.array(signed(tokens)), pa.array(often.astype(np.int64))], names
-            )
+            sketch.add(sets, digests)
+            if len(sketch.seen) > SKETCHED:
+                yield counted(sketch)
+                sketch = Sketch()
+        if sketch.seen:
+            yield counted(sketch)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows.mapInArrow(profile, f"id {kind}, n long, d long, e long, token long, weight long").write.parquet(f"{folder}/profile")
+    schema = f"id {kind}, n long, d long, e long, first long, chunk int, counts binary"
+    rows.mapInArrow(profile, schema).write.parquet(f"{folder}/profile")
     profiles = spark.read.parquet(f"{folder}/profile")
-    classes = profiles.filter("weight is null").select("id", "n", "d", "e", F.col("token").alias("first"))
-    top = profiles.filter("weight is not null").groupBy("token").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "token").limit(FREQUENT)
-    top = np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64)
-    frequent = spark.sparkContext.broadcast(np.sort(top))
+    classes = profiles.filter("chunk is null").select("id", "n", "d", "e", "first")
+    frequency = spark.sparkContext.broadcast(levels(profiles.filter("chunk is not null").select("chunk", "counts")))
 
     def beginning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
+        level = frequency.value
         for batch in by_bytes(batches, "text", 2 << 20):
             seen, out = set(), []
             for s in sets_of(utf8(batch.column("text"))):
@@ -232,12 +316,8 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                often = np.zeros(len(s), bool)
-                if len(last):
-                    often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                n = prefix_length(len(s), num, den)
-                chosen = np.concatenate([s[~often], s[often]])[:n]
-                out.append((chosen, key[0], key[1], len(s)))
+                order = np.argsort(level[s & U(COUNTERS - 1)], kind="stable")
+                out.append((s[order[: prefix_length(len(s), num, den)]], key[0], key[1], len(s)))
             lengths = [len(o[0]) for o in out]
             yield pa.RecordBatch.from_arrays([
                 pa.array(signed(np.concatenate([o[0] for o in out])) if out else [], pa.int64()),
@@ -308,29 +388,6 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
     joined = spark.read.parquet(f"{folder}/joined").filter("d <> group_d or e <> group_e")
     key, group = F.struct("d", "e"), F.struct(F.col("group_d").alias("d"), F.col("group_e").alias("e"))
     known = joined.select(key.alias("key"), group.alias("group"))
-    placed = starts.select("token", key.alias("key"), "n", "place").join(known, "key", "left")
-    placed = placed.withColumn("group", F.coalesce("group", "key"))
-    mixed = placed.select("token", F.xxhash64("group").alias("g")).groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b"))
-    placed = placed.join(mixed.filter("a <> b").select("token"), "token", "left_semi").distinct()  # copies repeat their class
-    left, right = (placed.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "group", "n", "place")]) for side in "ab")
-    # before the shared n-gram at most the shorter beginning is common, after it at most the shorter rest
-    most = F.least("a_place", "b_place") + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    pairs = left.join(right, "token").filter(
-        (F.col("a_key") < F.col("b_key")) & (F.col("a_group") != F.col("b_group"))
-        & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
-        & ((num + den) * most >= num * (F.col("a_n") + F.col("b_n")))
-    ).groupBy("a_key", "b_key", "a_group", "b_group", "a_n", "b_n").agg(F.count(F.lit(1)).alias("common"))
-    # what is not among the common beginnings lies behind the beginning of one of the two
-    rest = F.floor((num * F.greatest("a_n", "b_n") + (den - 1)) / den) - 1
-    pairs = pairs.filter((num + den) * (F.col("common") + rest) >= num * (F.col("a_n") + F.col("b_n")))
-    pairs = pairs.select("a_key", "b_key", "a_group", "b_group")
-    pairs.write.parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
-    asked = pairs.select(F.col("a_key").alias("key")).unionByName(pairs.select(F.col("b_key").alias("key"))).distinct()
-    asked = asked.join(carriers.select(key.alias("key"), "id"), "key").select("id")
-    held = sets_where(named(asked)).select(key.alias("key"), "tokens")
-    pairs = pairs.join(held.withColumnsRenamed({"key": "a_key", "tokens": "a_tokens"}), "a_key")
-    pairs = pairs.join(held.withColumnsRenamed({"key": "b_key", "tokens": "b_tokens"}), "b_key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,13 +397,81 @@ def group_similar(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100
                 yes = [similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den) for x, y in zip(a, b)]
                 yield part.filter(pa.array(yes, pa.bool_())).select(["a", "b"])
 
-    links = pairs.select(F.col("a_group").alias("a"), F.col("b_group").alias("b"), "a_tokens", "b_tokens").mapInArrow(
-        compare, "a struct<d:long,e:long>, b struct<d:long,e:long>"
-    )
-    label = components(links, folder)
-    joined = known.join(label, F.col("group") == F.col("node"), "left").select("key", F.coalesce("label", "group").alias("label"))
-    alone = label.join(known, F.col("node") == F.col("key"), "left_anti").select(F.col("node").alias("key"), "label")
-    final = joined.unionByName(alone).select("key.d", "key.e", "label")
+    def in_groups(places: DataFrame, known: DataFrame) -> DataFrame:
+        """Places at n-grams that different groups hold, with their groups."""
+        placed = places.join(known, "key", "left").withColumn("group", F.coalesce("group", "key"))
+        mixed = placed.select("token", F.xxhash64("group").alias("g")).groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b"))
+        return placed.join(mixed.filter("a <> b").select("token"), "token", "left_semi")
+
+    def meet_in_trie(table: pa.Table) -> pa.Table:
+        """Pairs of classes of different groups that may be similar and have no earlier n-gram in common."""
+        keys = list(zip(table.column("d").to_pylist(), table.column("e").to_pylist()))
+        groups, token = table.column("g").to_numpy(), table.column("token")[0].as_py()
+        sets = [np.array(t, np.int64).view(np.uint64) for t in table.column("tokens").to_pylist()]
+        before = [set(s[: int(np.flatnonzero(s == np.uint64(token & 0xFFFFFFFFFFFFFFFF))[0])].tolist()) for s in sets]
+        trie = Trie(sets, table.column("n").to_numpy().astype(np.int64))
+        names, members = np.unique(groups, return_counts=True)
+        largest, left, right = names[members.argmax()], [], []
+        for i in np.flatnonzero(groups != largest).tolist():  # one of two groups is not the largest
+            for j in trie.meet(i, num, den).tolist():
+                if groups[j] != groups[i] and (groups[j] == largest or i < j) and before[i].isdisjoint(before[j]):
+                    a, b = (i, j) if keys[i] < keys[j] else (j, i)
+                    left.append(a), right.append(b)
+        side = [table.column(c).to_numpy()[at].astype(np.int64) for at in (np.array(left, int), np.array(right, int)) for c in ("d", "e")]
+        return pa.table(dict(zip(("a_d", "a_e", "b_d", "b_e"), map(pa.array, side))))
+
+    def linked_groups(placed: DataFrame) -> DataFrame:
+        """(node, label) of the groups that links between ``placed`` classes (token, key, group, n, place) connect."""
+        held = placed.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+        held.filter(F.col("held") > FEW).write.parquet(f"{folder}/hot")
+        hot = spark.read.parquet(f"{folder}/hot")
+        tokens = placed.join(hot, "token", "left").withColumn("hot", F.col("held").isNotNull().cast("int"))
+        lists = tokens.groupBy("key", "group", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token", "hot"))).alias("at"))
+        lists = lists.select("key", "group", "n", F.expr("transform(at, x -> x.token)").alias("tokens"),
+                             F.expr("filter(at, x -> x.hot = 1)").alias("at"))
+        lists.write.parquet(f"{folder}/lists")
+        lists = spark.read.parquet(f"{folder}/lists")
+        # many classes: tries of the n-grams that beginnings share, in blocks of classes
+        many = lists.select("key", "group", "n", "tokens", F.expr("explode(transform(at, x -> x.token))").alias("token")).join(hot, "token")
+        cells, own = F.ceil(F.col("held") / WIDE), F.pmod(F.xxhash64("key"), F.ceil(F.col("held") / WIDE))
+        many = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+        many = many.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key.d", "key.e",
+                           F.xxhash64("group").alias("g"), F.col("n").cast("long").alias("n"), "tokens")
+        found = many.groupBy("token", "low", "high").applyInArrow(meet_in_trie, "a_d long, a_e long, b_d long, b_e long").distinct()
+        found = found.select(F.expr("struct(a_d as d, a_e as e)").alias("a_key"), F.expr("struct(b_d as d, b_e as e)").alias("b_key"))
+        # few classes: at most FEW * (FEW - 1) / 2 pairs an n-gram
+        few = tokens.filter("hot = 0").join(lists.select("key", F.size("at").alias("often")), "key")
+        left, right = (few.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "group", "n", "place", "often")]) for side in "ab")
+        # before the shared n-gram at most the shorter beginning is common, after it at most the shorter rest
+        most = F.least("a_place", "b_place") + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+        pairs = left.join(right, "token").filter(
+            (F.col("a_key") < F.col("b_key")) & (F.col("a_group") != F.col("b_group"))
+            & (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n"))
+            & ((num + den) * most >= num * (F.col("a_n") + F.col("b_n")))
+        ).groupBy("a_key", "b_key", "a_n", "b_n", "a_often", "b_often").agg(F.count(F.lit(1)).alias("common"))
+        # what is not among the common beginnings lies behind the beginning of one of the two
+        rest = F.floor((num * F.greatest("a_n", "b_n") + (den - 1)) / den) - 1 + F.least("a_often", "b_often")
+        pairs = pairs.filter((num + den) * (F.col("common") + rest) >= num * (F.col("a_n") + F.col("b_n")))
+        pairs.select("a_key", "b_key").unionByName(found).distinct().write.parquet(f"{folder}/pairs")
+        pairs = spark.read.parquet(f"{folder}/pairs")
+        asked = pairs.select(F.col("a_key").alias("key")).unionByName(pairs.select(F.col("b_key").alias("key"))).distinct()
+        asked = asked.join(carriers.select(key.alias("key"), "id"), "key").select("id")
+        held = sets_where(named(asked)).select(key.alias("key"), "tokens").join(lists.select("key", "group"), "key")
+        for side in "ab":
+            pairs = pairs.join(held.withColumnsRenamed({"key": f"{side}_key", "tokens": f"{side}_tokens", "group": side}), f"{side}_key")
+        links = pairs.select("a", "b", "a_tokens", "b_tokens").mapInArrow(compare, "a struct<d:long,e:long>, b struct<d:long,e:long>")
+        return components(links, folder)
+
+    def merged(known: DataFrame, label: DataFrame) -> DataFrame:
+        """(key, group) of all classes in groups, with the groups that ``label`` connects put together."""
+        old = known.join(label, F.col("group") == F.col("node"), "left").select("key", F.coalesce("label", "group").alias("group"))
+        alone = label.join(known, F.col("node") == F.col("key"), "left_anti").select(F.col("node").alias("key"), F.col("label").alias("group"))
+        return old.unionByName(alone)
+
+    places = starts.select("token", key.alias("key"), "n", "place").distinct()  # copies repeat their class
+    in_groups(places, known).write.parquet(f"{folder}/mixed")
+    final = merged(known, linked_groups(spark.read.parquet(f"{folder}/mixed")))
+    final = final.select("key.d", "key.e", F.col("group").alias("label"))
     out = classes.join(final, ["d", "e"], "left").select("id", "n", F.coalesce("label", F.struct("d", "e")).alias("label"))
     first = out.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     linked = out.filter("n > 0").join(first, "label").select("id", "n", "component_id")
