@@ -29,17 +29,24 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     Runs of anything but letters become one gap; grams may touch a gap but do not hold it inside alone.
     """
     keys, counts = [], []
+    text = text.lower()  # as a whole: the small form of a letter may depend on its neighbours
+    tail, last = np.zeros(1, np.uint64), None  # the two codes before a block, and the last one it had, gap or not
     for at in range(0, len(text), BLOCK):
-        # surrogates cannot be in a text that came through UTF-8; two characters overlap with the block before
-        part = text[max(0, at - 2) : at + BLOCK].lower()
-        codes = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        # surrogates cannot be in a text that came through UTF-8
+        codes = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le"), np.uint32).astype(np.uint64)
         codes = np.where(_letters(codes.astype(np.int64)), codes, np.uint64(0))
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-        codes = np.concatenate([np.zeros(1, np.uint64), codes[keep], np.zeros(1, np.uint64)])
+        keep[0] = last is None or last != 0 or codes[0] != 0
+        last, old = codes[-1], len(tail)
+        end = np.zeros(1 if at + BLOCK >= len(text) else 0, np.uint64)
+        codes = np.concatenate([tail, codes[keep], end])
         two = (codes[:-1] << np.uint64(21)) | codes[1:]
         three = (two[:-1] << np.uint64(21)) | codes[2:]
-        grams = np.concatenate([codes[codes != 0], two[two != 0], three[three != 0]])
+        tail = codes[-2:]
+        one, two = codes[old:], two[old - 1 :]  # every gram belongs to the block in which it ends
+        three = three[max(0, old - 2) :]
+        grams = np.concatenate([one[one != 0], two[two != 0], three[three != 0]])
         k, c = np.unique(grams, return_counts=True)
         keys.append(k)
         counts.append(c)
