@@ -10,6 +10,7 @@ from wardline.queries.c_quality import CHECKED
 from wardline.queries.registry import query
 from wardline.queries.sqltext import quote
 from wardline.rules.fields import UUID_DNS_NAMESPACE
+from wardline.sources import quoted
 from wardline.sources import readers as r
 from wardline.sources import store
 from wardline.sources import writers as w
@@ -58,6 +59,35 @@ def _(t):
     return r.good_rows(r.read_csv(t.spark, f"{folder}/*", ["key", "status", "priority"]))
 
 
+@query(
+    "a1_read_csv_split",
+    f"""select conv_id::varchar as conv_id, turn::varchar as turn, case when n % 70 = 7 then null else role end as role,
+      md5(case when n % 70 = 7 then null else {FLAT} end) as text from (select *, conv_id * 100 + turn as n from conversations)
+      where n % 50 <> 0""",
+)
+def _(t):
+    """The same files, line ends in quoted cells and all, where a file may be read by many tasks."""
+    rows = quoted.read_csv_split(t.spark, csv_file(t), ["conv_id", "turn", "role", "text"], header=False)
+    return r.good_rows(rows).withColumn("text", F.md5("text"))
+
+
+@query(
+    "a1_read_csv_split_orders",
+    """select o_orderkey::varchar as key, case when o_orderkey % 3 < 2 then o_orderstatus end as status,
+      case when o_orderkey % 3 <> 1 then note end as note
+      from (select *, o_orderpriority || chr(10) || '"' || o_orderstatus || '", ' as note from orders)""",
+)
+def _(t):
+    """Files with their own headers, in two encodings, with quotes and line ends in their cells."""
+    folder, o = work_folder(t.spark, "csv-split"), t.orders
+    note = F.concat("o_orderpriority", F.lit("\n\""), "o_orderstatus", F.lit('", '))
+    names = {"key": F.col("o_orderkey").cast("string"), "status": F.col("o_orderstatus"), "note": note, "préfixe": F.lit("é")}
+    for i, (order, encoding) in enumerate(((("key", "status", "note"), "UTF-8"), (("status", "key", "préfixe"), "ISO-8859-1"), (("note", "key"), "UTF-8"))):
+        part = o.filter(F.col("o_orderkey") % 3 == i).select(*[names[c].alias(c) for c in order])
+        part.write.options(header=True, quoteAll=True, encoding=encoding, escape='"', ignoreTrailingWhiteSpace=False).csv(f"{folder}/{i}")
+    return r.good_rows(quoted.read_csv_split(t.spark, f"{folder}/*", ["key", "status", "note"]))
+
+
 @query(
     "a1_bad_rows",
     "select count(*) as records, count(*) filter ((conv_id * 100 + turn) % 50 = 0) as bad, 0::bigint as empty from conversations",
