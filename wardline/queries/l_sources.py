@@ -10,7 +10,7 @@ from wardline.queries.c_quality import CHECKED
 from wardline.queries.registry import query
 from wardline.queries.sqltext import quote
 from wardline.rules.fields import UUID_DNS_NAMESPACE
-from wardline.sources import quoted
+from wardline.sources import arrays, quoted
 from wardline.sources import readers as r
 from wardline.sources import store
 from wardline.sources import writers as w
@@ -101,6 +101,20 @@ def _(t):
     "select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 40 > 0",
 )
 def _(t):
+    return r.good_rows(r.read_json(t.spark, json_arrays(t), ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+
+
+@query(
+    "a2_read_json_split",
+    "select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 40 > 0",
+)
+def _(t):
+    """The same files, where a file may be read by many tasks."""
+    return r.good_rows(arrays.read_json_split(t.spark, json_arrays(t), ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+
+
+def json_arrays(t):
+    """Orders as array files, with numbers among the objects."""
     folder = work_folder(t.spark, "json")
     obj = F.when(F.col("o_orderkey") % 40 > 0, F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).otherwise(
         F.col("o_orderkey").cast("string")
@@ -108,12 +122,11 @@ def _(t):
     # one array per file, numbers among the objects; about 500 elements an array, so files grow in number and not in size
     files = max(1, t.orders.count() // 500)
     group = F.pmod(F.xxhash64("o_orderkey"), F.lit(files))
-    arrays = t.orders.select(group.alias("g"), obj.alias("o")).groupBy("g").agg(
+    lists = t.orders.select(group.alias("g"), obj.alias("o")).groupBy("g").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("o"), ","), F.lit("]")).alias("value")
     )
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
-    rows = r.read_json(t.spark, folder, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
-    return r.good_rows(rows)
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
 
 
 @query(

@@ -91,31 +91,34 @@ def _bit(i: int) -> Column:
     return F.shiftright(F.col("ends").cast("int"), i).bitwiseAND(1)
 
 
-def block_states(lines: DataFrame) -> DataFrame:
-    """(file, block, inside, offset, utf8): how each range begins, the records before it, and whether its file is UTF-8.
+def range_states(per: DataFrame) -> DataFrame:
+    """(file, block, inside, offset): how each range begins, and the sum of ``n`` over the ranges before it.
 
-    One row per range enters the window of its file.
+    ``per`` has a row per range: its state at the end and ``n``, if it begins outside (e0, n0) or inside (e1, n1). These
+    rows alone enter the window of their file.
     """
-    per = lines.groupBy("file", "block").agg(
-        F.max_by(F.struct(_bit(1).alias("e0"), _bit(3).alias("e1")), "at").alias("e"),
-        F.max("r0").alias("n0"), F.max("r1").alias("n1"),
-        F.min(F.is_valid_utf8(F.col("line").cast("string"))).alias("valid"),
-    ).select("file", "block", "e.e0", "e.e1", "n0", "n1", "valid")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("file").orderBy("block")
     swap = ((F.col("e0") == 1) & (F.col("e1") == 0)).cast("int")
-    turned = per.withColumn("swaps", F.sum(swap).over(upto))
+    turned = per.withColumn("swaps", F.sum(swap).over(Window.partitionBy("file").orderBy("block")))
     fixed = F.when(F.col("e0") == F.col("e1"), F.struct("e0", "swaps"))  # this range ends the same way in either case
     known = turned.withColumn("fixed", F.last(fixed, ignorenulls=True).over(earlier)).withColumn(
         "so_far", F.coalesce(F.max("swaps").over(earlier), F.lit(0))
     )
     inside = (F.coalesce("fixed.e0", F.lit(0)) + F.col("so_far") - F.coalesce("fixed.swaps", F.lit(0))) % 2
-    states = known.withColumn("inside", inside.cast("int"))
     n = F.when(F.col("inside") == 1, F.col("n1")).otherwise(F.col("n0"))
-    return states.select(
-        "file", "block", "inside", F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias("offset"),
-        F.min("valid").over(Window.partitionBy("file")).alias("utf8"),
-    )
+    states = known.withColumn("inside", inside.cast("int"))
+    return states.select("file", "block", "inside", F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias("offset"))
+
+
+def block_states(lines: DataFrame) -> DataFrame:
+    """(file, block, inside, offset, utf8): how each range begins, the records before it, and whether its file is UTF-8."""
+    per = lines.groupBy("file", "block").agg(
+        F.max_by(F.struct(_bit(1).alias("e0"), _bit(3).alias("e1")), "at").alias("e"),
+        F.max("r0").alias("n0"), F.max("r1").alias("n1"),
+        F.min(F.is_valid_utf8(F.col("line").cast("string"))).alias("valid"),
+    ).select("file", "block", "e.e0", "e.e1", "n0", "n1", "valid")
+    utf8 = per.groupBy("file").agg(F.min("valid").alias("utf8"))
+    return range_states(per).join(utf8, "file")
 
 
 def records(lines: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -169,29 +172,35 @@ def read_csv_split(
     source.mapInArrow(lambda batches: number_lines(batches, sep), LINES).write.parquet(folder)
     rows = records(spark.read.parquet(folder), longest).filter(F.trim(F.regexp_replace("text", "[\r\n]", "")) != "")
     if not header:
-        return rows.select(*_cells(F.lit(0), {0: list(columns)}, list(columns), sep))
+        return rows.select(F.inline(_cells(F.lit(0), {0: list(columns)}, list(columns), sep)))
     # headers lie in the first range; only it is read for them
     first = records(spark.read.parquet(folder).filter("block = 0"), longest).filter("trim(text) <> '' and not bad")
     first = first.groupBy("file").agg(F.min(F.struct("record", "text")).alias("h")).select("file", F.col("h.record").alias("top"), F.col("h.text").alias("head"))
     names = {h: [c.strip() for c in next(csv.reader([h], delimiter=sep))] for (h,) in first.select("head").distinct().collect()}
     wanted = list(columns or dict.fromkeys(c for h in sorted(names) for c in names[h]))
     below = rows.join(first, "file").filter(F.col("record") > F.col("top"))
-    return below.select(*_cells(F.col("head"), names, wanted, sep))
+    if not names:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*wanted, BAD]]))
+    return below.select(F.inline(_cells(F.col("head"), names, wanted, sep)))
 
 
-def _cells(key: Column, names: dict, wanted: list[str], sep: str) -> list[Column]:
-    """The wanted cells and the bad-record column, each file's text read by its own header."""
+def _cells(key: Column, names: dict, wanted: list[str], sep: str) -> Column:
+    """An array of one row: the wanted cells and the bad-record column, each file's text read by its own header."""
     options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "maxCharsPerColumn": "-1"}
-    out = F.lit(None).cast(T.StructType([T.StructField(c, T.StringType()) for c in [*wanted, BAD]]))
+    out = F.lit(None)
     for value, columns in names.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, BAD]])
-        row = F.from_csv("text", _ddl(schema), options)
-        unquoted = F.regexp_replace(row.getField(BAD), r'"(?:[^"]|"")*"', "")
-        broken = F.col("bad") | (F.size(F.split(unquoted, f"[{sep}]")) > len(columns))
-        cell = lambda c: F.when(~F.col("bad"), row.getField(c)) if c in columns else F.lit(None).cast("string")
-        fields = [cell(c).alias(c) for c in wanted]
-        out = F.when(key == F.lit(value), F.struct(*fields, F.when(broken, F.col("text")).alias(BAD))).otherwise(out)
-    return [out.getField(c).alias(c) for c in [*wanted, BAD]]
+
+        def pick(row: Column) -> Column:  # called at once
+            unquoted = F.regexp_replace(row.getField(BAD), r'"(?:[^"]|"")*"', "")
+            broken = F.col("bad") | (F.size(F.split(unquoted, f"[{sep}]")) > len(columns))
+            cell = lambda c: F.when(~F.col("bad"), row.getField(c)) if c in columns else F.lit(None).cast("string")
+            return F.struct(*[cell(c).alias(c) for c in wanted], F.when(broken, F.col("text")).alias(BAD))
+
+        # inside the array a row is parsed once for all its cells
+        parsed = F.transform(F.array(F.from_csv("text", _ddl(schema), options)), pick)
+        out = F.when(key == F.lit(value), parsed).otherwise(out)
+    return out
 
 
 def _ddl(schema: T.StructType) -> str:
