@@ -308,6 +308,49 @@ def snapshot_hash(manifest: DataFrame) -> DataFrame:
     return sums.select("rows", "positive", F.sha2(F.concat_ws("|", *parts), 256).alias("dataset_hash"))
 
 
+def hash_tree(manifest: DataFrame, digits: int = 4) -> DataFrame:
+    """(level, bucket, rows, digest): a tree of SHA-256 digests over a manifest, from its buckets up to the root.
+
+    A row's bucket is the first ``digits`` hex digits of the hash of its id; a bucket's digest covers the sorted digests
+    of its rows, a node's those of its up to 16 children in order. Two snapshots made with the same ``digits`` are equal
+    where their digests are. A task gathers the rows of one bucket, so let ``16 ** digits`` grow with the rows: 4
+    serves a billion. Repeated rows count as often as they occur. An empty manifest gives no rows.
+    """
+    text = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["digest"]), "")
+    leaves = manifest.select(_bucket(digits).alias("bucket"), "digest").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("rows"), F.sha2(text(F.struct("digest")), 256).alias("digest")
+    )
+    level = leaves.withColumn("level", F.lit(digits))
+    out = level
+    for depth in range(digits - 1, -1, -1):
+        level = level.groupBy(F.substring("bucket", 1, depth).alias("_up")).agg(
+            F.sum("rows").alias("rows"), F.sha2(text(F.struct("bucket", "digest")), 256).alias("digest")
+        ).select(F.col("_up").alias("bucket"), "rows", "digest", F.lit(depth).alias("level"))
+        out = out.unionByName(level)
+    return out.select("level", "bucket", "rows", "digest")
+
+
+def _bucket(digits: int) -> Column:
+    return F.substring(F.sha2(F.col("incident_id").cast("string"), 256), 1, digits)
+
+
+def changed_rows(old: DataFrame, new: DataFrame, old_tree: DataFrame, new_tree: DataFrame, digits: int = 4) -> DataFrame:
+    """(incident_id, change): rows added, removed or changed between two manifests, one row per id.
+
+    The stored trees name the buckets that differ; only their rows are compared.
+    """
+    pick = lambda tree, name: tree.filter(F.col("level") == digits).select("bucket", F.col("digest").alias(name))
+    differ = pick(old_tree, "a").join(pick(new_tree, "b"), "bucket", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("bucket")
+
+    def rows(manifest: DataFrame, name: str) -> DataFrame:
+        near = manifest.withColumn("bucket", _bucket(digits)).join(differ, "bucket", "left_semi")
+        return near.groupBy("incident_id").agg(F.array_sort(F.collect_list("digest")).alias(name))
+
+    both = rows(old, "a").join(rows(new, "b"), "incident_id", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
+    return both.select("incident_id", change.alias("change"))
+
+
 def baselines(
     df: DataFrame, id_col: str, text: str, categories: Sequence[str], label: str, group: str, seed: int = 42,
     features: int = 1024, max_iter: int = 50,

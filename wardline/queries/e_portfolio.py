@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from wardline.functions.codes import risk_band
+from wardline.operators import bitmaps as b
 from wardline.operators import portfolio as p
+from wardline.plans.scale import work_folder
 from wardline.queries.b_filters import SCORED
 from wardline.queries.d_patterns import listed
 from wardline.queries.registry import query
@@ -294,3 +296,26 @@ def _(t):
 )
 def _(t):
     return p.top_items(base(t), ["site"], "activity", 3).withColumn("top", listed("top"))
+
+
+FLAGS = "l_returnflag || '-' || l_linestatus as rule, date_trunc('month', l_shipdate)::date as month"
+
+
+@query(
+    "g6_distinct_rollup",
+    f"""with x as (select {FLAGS}, l_orderkey as id from lineitem)
+      select rule, month, count(distinct id)::bigint as incidents from x group by grouping sets ((rule, month), (rule), (month), ())""",
+)
+def _(t):
+    """Distinct orders per rule and month, per rule, per month and in all, out of one table of bitmaps."""
+    rows = t.lineitem.select(
+        F.concat_ws("-", "l_returnflag", "l_linestatus").alias("rule"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"), "l_orderkey"
+    )
+    path = work_folder(t.spark, "cube")
+    b.distinct_cube(rows, ["rule", "month"], "l_orderkey").write.parquet(path)
+    cube = t.spark.read.parquet(path)
+    parts = [b.distinct_totals(cube, keys) for keys in (["rule", "month"], ["rule"], ["month"], [])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

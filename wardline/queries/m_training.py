@@ -1,7 +1,7 @@
 """Training sets, encoding, fitting and scoring over the documents and labels."""
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from wardline.functions.codes import rounded
 from wardline.functions.text import is_sparse
 from wardline.operators import sampling as s
 from wardline.operators import training as tr
+from wardline.operators.contributions import boosted_contributions
 from wardline.queries.registry import query
-from wardline.queries.sqltext import pct_sql, ratio_sql, sparse_sql
+from wardline.queries.sqltext import clean_sql, pct_sql, ratio_sql, sparse_sql
 from wardline.rules.quality import PLACEHOLDERS
 
 
@@ -209,16 +210,55 @@ def _(t):
     return tr.snapshot_hash(tr.snapshot(rows, "incident_id", "label", "train_source"))
 
 
+@query(
+    "t11_hash_tree",
+    f"""with {REPORTS}, m as (select sha256(i::varchar) as h, sha256(i || ':' || label::int || ':' || ts) as d from ro where ts is not null),
+    l2 as (select substr(h, 1, 2) as bucket, count(*)::bigint as rows, sha256(string_agg(d, '' order by d)) as digest from m group by 1),
+    l1 as (select substr(bucket, 1, 1) as bucket, sum(rows)::bigint as rows, sha256(string_agg(digest, '' order by bucket)) as digest from l2 group by 1),
+    l0 as (select '' as bucket, sum(rows)::bigint as rows, sha256(string_agg(digest, '' order by bucket)) as digest from l1)
+    select 2 as level, * from l2 union all select 1, * from l1 union all select 0, * from l0""",
+)
+def _(t):
+    rows = tr.training_set(reports(t), "MIXED_SYNTHETIC")
+    return tr.hash_tree(tr.snapshot(rows, "incident_id", "label", "train_source"), 2)
+
+
+@query(
+    "t11_changed_rows",
+    f"""with {REPORTS} select i as incident_id, case i % 200 when 0 then 'removed' when 1 then 'added' else 'changed' end as change
+      from ro where ts is not null and i % 200 < 3""",
+)
+def _(t):
+    """Two snapshots, of which the second lacks some rows, has others more and some with the other label."""
+    rows = tr.training_set(reports(t), "MIXED_SYNTHETIC")
+    i = F.col("incident_id") % 200
+    old = tr.snapshot(rows.filter(i != 1), "incident_id", "label", "train_source")
+    turned = rows.withColumn("label", F.when(i == 2, ~F.col("label")).otherwise(F.col("label")))
+    new = tr.snapshot(turned.filter(i != 0), "incident_id", "label", "train_source")
+    return tr.changed_rows(old, new, tr.hash_tree(old), tr.hash_tree(new))
+
+
+@query("t10_contributions", "select doc_id, true as adds_up from documents")
+def _(t):
+    """Contributions and bias of boosted trees against the model's raw score, for every document."""
+    stages = [tr.encoder(["long"], ["source", "lang"]), VectorAssembler(inputCols=["structured", "n_chars"], outputCol="all")]
+    prepare = Pipeline(stages=stages).fit(inputs(labelled(t), ["source", "lang"]))
+    model = GBTClassifier(featuresCol="all", labelCol="label", seed=42).fit(prepare.transform(inputs(labelled(t), ["source", "lang"])))
+    rows = prepare.transform(inputs(described(t.documents), ["source", "lang"]))
+    parts = boosted_contributions(rows, model, "doc_id", "all", [f"x{i}" for i in range(model.numFeatures)])
+    sums = parts.groupBy("doc_id").agg((F.sum("contribution") + F.first("bias")).alias("s"))
+    raw = model.transform(rows).select("doc_id", vector_to_array("rawPrediction").getItem(1).alias("raw"))
+    return raw.join(sums, "doc_id").select("doc_id", (F.abs(F.col("s") - F.col("raw")) < 1e-9).alias("adds_up"))
+
+
 @query(
     "t12_training_rows",
-    f"""select doc_id, md5(case when doc_id % 3 > 0 then source else trim(regexp_replace(text,
-        '[\\t\\n\\x0b\\f\\r \\x{{85}}\\pZ]+', ' ', 'g')) end) as narrative, quality as label
-      from documents join labels using (doc_id) where doc_id % 3 > 0 or not regexp_matches(text, '[<&]')""",
+    f"""select doc_id, md5(case when doc_id % 3 > 0 then source else {clean_sql("text")} end) as narrative, quality as label
+      from documents join labels using (doc_id)""",
 )
 def _(t):
-    df = labelled(t).filter((F.col("doc_id") % 3 > 0) | ~F.col("text").rlike("[<&]"))
     stored = t.documents.select("doc_id", F.col("source").alias("stored_source"))
-    df = df.join(stored, "doc_id").withColumn("stored", F.when(F.col("doc_id") % 3 > 0, F.col("stored_source")).otherwise(""))
+    df = labelled(t).join(stored, "doc_id").withColumn("stored", F.when(F.col("doc_id") % 3 > 0, F.col("stored_source")).otherwise(""))
     out = tr.training_rows(df, "quality", ["doc_id"], ["text"], "stored")
     return out.withColumn("narrative", F.md5("narrative"))
 
