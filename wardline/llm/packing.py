@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,11 +149,10 @@ def encode(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = Encoder.of(tokenizer, "ids"), zstandard.ZstdCompressor(level=1)
         uid, kind = TaskContext.get().partitionId() << 33, _kind(tokenizer)
-        code = "H" if kind.itemsize == 2 else "I"
         end = np.array([END], kind).tobytes()
         for batch in by_bytes(batches, "text", 2 << 20):
             pieces = [encoder.pieces(t or b"") for t in utf8(batch.column("text"))]
-            known = encoder.learn(set().union(*pieces), lambda ids: array(code, ids).tobytes())
+            known = encoder.learn(set().union(*pieces), kind)
             packed = [b"".join(map(known.__getitem__, p)) + end for p in pieces]
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(uid, uid + len(packed)), pa.int64()), batch.column("id"),

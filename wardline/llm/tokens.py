@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.words import by_bytes, utf8
 
-MEMO = 400_000  # pieces, and half the words, that a worker remembers; beyond that it starts afresh
+MEMO = 1_000_000  # pieces and words that a worker remembers; beyond that it starts afresh
 BATCH_BYTES = 1 << 18  # bytes that one call of the library gets
 TOGETHER = 1000  # words encoded as one text
 MARKS = b".,;:!?%#*&$"
@@ -56,7 +57,6 @@ class Encoder:
         ) and all(self._encode([p])[0] == self._encode([p.replace(" ", "").lower()])[0] for p in ends)
         self.ends = last if self.cuts and last.any() else None
         self._memo: dict = {}
-        self._words: dict = {}
 
     @classmethod
     def of(cls, path: str, use: str) -> Encoder:
@@ -68,57 +68,75 @@ class Encoder:
     def pieces(self, text: bytes) -> list[bytes]:
         return text.split() if self.cuts else [text] if text else []
 
-    def learn(self, pieces: set, value) -> dict:
-        """``value(ids)`` of every piece, which must add up; asks the library only for new words."""
-        if len(self._memo) > MEMO:
+    def learn(self, pieces: set[bytes], kind: np.dtype | None = None) -> dict:
+        """The ids of every piece as bytes of ``kind``, or without it their number; asks the library only for new words."""
+        if len(self._memo) > MEMO or not self.cuts:
             self._memo = {}
-        if len(self._words) > 2 * MEMO:
-            self._words = {}
-        memo, known = self._memo, self._words
-        new = [(p, self._word(p)) for p in pieces if p not in memo]
-        asked = {w for _, w in new if w not in known}
-        asked.update(t for p, w in new if (t := p[len(w) :]) and t not in known)
-        size, call, asked = 0, [], list(asked)
-        for i, word in enumerate(asked):
-            call.append(word.decode())
-            size += len(word)
-            if size >= BATCH_BYTES or i == len(asked) - 1:
-                known.update((w.encode(), value(ids)) for w, ids in self._each(call))
-                size, call = 0, []
-        for piece, word in new:
-            memo[piece] = known[word] + known[piece[len(word) :]] if len(word) < len(piece) else known[word]
-        if not self.cuts:
-            self._memo, self._words = {}, {}
+        memo = self._memo
+        asked = pieces.difference(memo)
+        ends = [p for p in asked if p[-1] in MARKS]
+        stems = list(map(self._word, ends))
+        tails = [p[len(w) :] for p, w in zip(ends, stems)]
+        asked.difference_update(compress(ends, tails))
+        asked.update(compress(stems, tails))
+        asked.update(tails)
+        asked.discard(b"")
+        asked.difference_update(memo)
+        words = list(asked)
+        calls = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // BATCH_BYTES
+        cuts = [*(np.flatnonzero(np.diff(calls)) + 1).tolist(), len(words)]
+        for start, stop in zip([0, *cuts], cuts):
+            self._ask(words[start:stop], kind)
+        for piece, stem, tail in zip(ends, stems, tails):
+            if tail:
+                memo[piece] = memo[stem] + memo[tail]
         return memo
 
-    def _each(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Ids of each word. Words of letters alone end in one token that says so: they are encoded as one text and its
-        ids cut at those tokens, unless their number is another one; then, and otherwise, each is a text.
+    def _ask(self, words: list[bytes], kind: np.dtype | None) -> None:
+        """Remembers the ids of each word. Words of letters alone end in one token that says so: they are encoded as one
+        text and its ids cut at those tokens, unless their number is another one; then, and otherwise, each is a text.
         """
+        # where texts are cut at white space, no word holds a blank
+        texts = b" ".join(words).decode().split(" ") if self.cuts and words else [w.decode() for w in words]
         if self.ends is not None:
-            plain, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-            groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
-            for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
-                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            letters = list(map(str.isalpha, texts))
+            plain, spelled = list(compress(words, letters)), list(compress(texts, letters))
+            other = [not x for x in letters]
+            words, texts = list(compress(words, other)), list(compress(texts, other))
+            starts = range(0, len(plain), TOGETHER)
+            for at, ids in zip(starts, self._encode([" ".join(spelled[a : a + TOGETHER]) for a in starts])):
+                group, ids = plain[at : at + TOGETHER], np.array(ids, np.int64)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
                 if len(cuts) == len(group) and cuts[-1] == len(ids):
-                    yield from zip(group, [ids[a:b] for a, b in zip([0, *cuts], cuts)])
+                    self._memo.update(zip(group, _cut(ids, cuts, kind)))
                 else:
-                    rest += group
-            words = rest
-        yield from zip(words, self._encode(words))
+                    words += group
+                    texts += spelled[at : at + TOGETHER]
+        if words:
+            found = self._encode(texts)
+            cuts = np.cumsum([len(ids) for ids in found])
+            self._memo.update(zip(words, _cut(np.array([i for ids in found for i in ids], np.int64), cuts, kind)))
 
     def _word(self, piece: bytes) -> bytes:
         """The piece without the marks at its end: a letter or digit and a mark never share a token where white
         space may be cut. Pieces with ``<`` may hold special strings and stay whole.
         """
-        if not self.cuts or piece[-1] not in MARKS or b"<" in piece:
-            return piece
         word = piece.rstrip(MARKS)
-        if word and (word[-1:].isalnum() or word[-1] > 127 and word[-16:].decode(errors="ignore")[-1:].isalnum()):
+        if not word or not self.cuts or b"<" in piece:
+            return piece
+        if word[-1:].isalnum() or word[-1] > 127 and word[-16:].decode(errors="ignore")[-1:].isalnum():
             return word
         return piece
 
 
+def _cut(ids: np.ndarray, cuts: np.ndarray, kind: np.dtype | None) -> list:
+    """What lies between the cuts: bytes of ``kind``, or without it how many ids."""
+    if kind is None:
+        return np.diff(cuts, prepend=0).tolist()
+    packed, at = ids.astype(kind).tobytes(), (cuts * kind.itemsize).tolist()
+    return [packed[a:b] for a, b in zip([0, *at], at)]
+
+
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every whole text.
 
@@ -131,7 +149,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in by_bytes(batches, "text"):
             texts = [t or b"" for t in utf8(batch.column("text"))]
             pieces = [encoder.pieces(t) for t in texts]
-            known = encoder.learn(set().union(*pieces), len)
+            known = encoder.learn(set().union(*pieces))
             sums = [sum(map(known.__getitem__, p)) for p in pieces]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums, pa.int64())],
