@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from wardline import queries as registry
 from wardline.operators.quality import ReportColumns, quality_gate
 from wardline.streaming import jobs as j
 
+registry.load()
 GOOD = "The worker slipped on the wet deck near the main pump today"
 
 
@@ -40,3 +42,19 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
         j.write_batch(j.unseen(rows, path, "k", 0), path, 0)
     j.write_batch(j.unseen(spark.range(5).withColumnRenamed("id", "k"), path, "k", 1), path, 1)
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path):
+    """Whole tables by either layout through the registered ingestion queries."""
+    rows = [(i, f"{GOOD} {i}" if i % 3 else "test", "en", "web") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for layout in ("folder", "file"):
+        run = lambda name: registry.QUERIES[name](spark, str(tmp_path / layout)).collect()  # noqa: E731, B023
+        once = run("s2_exactly_once")
+        assert {r["n"] for r in once} == {1} and len(once) + len(run("s5_rejected")) == 12
+        assert 0 < len(run("s1_ingest_tags")) <= 12
+        assert len(run("s1_ingest_accepted")) == len(once)

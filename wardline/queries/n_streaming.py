@@ -14,10 +14,15 @@ from wardline.streaming import jobs as j
 RULES = {"Alpha": (r"the",), "Beta": (r"que",)}
 
 
+def table_stream(t, name):
+    """A table as a stream of its files, be it one file or a folder of them; a plain path would have to be a folder, a pattern need not."""
+    return j.file_stream(t.spark, f"{t.folder}/{{{name}.parquet}}", getattr(t, name).schema)
+
+
 def ingested(t, repeat=False):
     """Documents through the ingestion job; returns its folder."""
     target = work_folder(t.spark, "ingest")
-    source = j.file_stream(t.spark, t.folder, t.documents.schema, pattern="documents.parquet")
+    source = table_stream(t, "documents")
     if repeat:
         source = source.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
 
@@ -70,7 +75,7 @@ def _(t):
 )
 def _(t):
     target = work_folder(t.spark, "counters")
-    stream = j.file_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet")
+    stream = table_stream(t, "events")
     j.run_to_table(j.live_counters(stream.withColumn("state", F.col("user_id") % 3), "event_type", "state"), target, "update")
     return j.latest(t.spark.read.parquet(f"{target}/result"), "event_type", "state")
 
@@ -84,7 +89,7 @@ def _(t):
 )
 def _(t):
     target = work_folder(t.spark, "alerts")
-    stream = j.file_stream(t.spark, t.folder, t.events.schema, pattern="events.parquet")
+    stream = table_stream(t, "events")
     alerts = j.recurrence_alerts(stream, "ts", ["event_type", "user_id"], "event_id", min_count=5)
     rows = alerts.select(
         F.date_format("window.start", "yyyy-MM-dd").alias("start"), "event_type", "user_id", "incidents"
