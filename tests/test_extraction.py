@@ -100,3 +100,13 @@ def test_every_default_barrier_is_complete():
 
     assert len({r.category for r in BARRIER_RULES}) == len(BARRIER_RULES) == 26
     assert all(r.triggers and r.effective and r.deficient and r.label and r.role for r in BARRIER_RULES)
+
+
+def test_costly_phrases_are_made_once(spark):
+    """Neither the narrative's words nor the phrase after a preposition is made again for each name or step that reads it."""
+    df = spark.createDataFrame([("", "He stood in Cargo Hold Two, alone."), ("x", "At the old  WELLHEAD area")], "l string, t string")
+    out = x.extract_location(df, "l", "t", aliases={"wellhead area": "Wellhead Area", "rig": "Rig"})
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("inside)\\s+") == 1 and plan.count(r"(?U)[^\w]+") == 1
+    assert [tuple(r)[2:] for r in out.collect()] == [
+        ("Cargo Hold Two", "narrative", "narrative_extraction"), ("X", "location", "structured_identity")]

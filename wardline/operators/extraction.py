@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +29,14 @@ def _entries(table: Mapping[str, str]) -> Column:
     return F.arrays_zip(F.split(F.lit(SEP.join(table)), SEP), F.split(F.lit(SEP.join(table.values())), SEP))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _inside(table: Mapping[str, str], phrase: Column) -> Column:
     """Value of the first table key held by the phrase."""
-    return F.get(F.filter(_entries(table), lambda e: F.contains(phrase, e["0"])), F.lit(0))["1"]
+    return _bound(phrase, lambda p: F.get(F.filter(_entries(table), lambda e: F.contains(p, e["0"])), F.lit(0))["1"])
 
 
 def _words(text: Column) -> Column:
@@ -55,7 +60,7 @@ def extract_activity(
     none = F.lit(None).cast("struct<category:string,method:string>")
 
     def found(category: Column, method: str) -> Column:
-        return F.when(category.isNotNull(), F.struct(category.alias("category"), F.lit(method).alias("method"))).otherwise(none)
+        return _bound(category, lambda c: F.when(c.isNotNull(), F.struct(c.alias("category"), F.lit(method).alias("method"))).otherwise(none))
 
     def phrase(pattern: str) -> Column:
         return F.regexp_replace(F.trim(F.regexp_extract(text, f"(?U){pattern}", 1)), ARTICLES, "")
@@ -116,8 +121,8 @@ def extract_location(
     given = (low != "") & ~low.isin(*[s.lower() for s in site_names]) if site_names else low != ""
 
     def hit(place: Column, source: str, method: str) -> Column:
-        return F.when(place.isNotNull(), F.struct(
-            place.alias("place"), F.lit(source).alias("field"), F.lit(method).alias("method")))
+        return _bound(place, lambda p: F.when(p.isNotNull(), F.struct(
+            p.alias("place"), F.lit(source).alias("field"), F.lit(method).alias("method"))))
 
     steps = [
         F.when(given, hit(F.coalesce(_exact(aliases, low), _inside(aliases, low)), "location", "exact_alias")),
@@ -131,7 +136,11 @@ def extract_location(
     text = F.concat(F.lit(" "), F.regexp_replace(F.lower("_text"), r"(?U)[^\w]+", " "), F.lit(" "))
     framed = {" " + a + " ": c for a, c in aliases.items()}
     steps.append(hit(_inside(framed, text), "narrative", "narrative_extraction"))
+    # the costly phrase is looked for once, and only where nothing was found so far
+    df = once(df, _found=F.coalesce(*steps))
     phrase = F.regexp_replace(F.trim(F.regexp_extract("_text", fixed.PLACE_AFTER_PREPOSITION, 1)), r"(?i)^(?:the|a|an)\s+", "")
+    df = once(df, _phrase=F.when(F.col("_found").isNull(), phrase))
+    phrase, steps = F.col("_phrase"), [F.col("_found")]
     body = r"(?iU)(?:^|\s)(?:" + "|".join(fixed.ANATOMY) + r")(?:\s|$)"
     steps.append(F.when(phrase != "", hit(_exact(aliases, F.lower(phrase)), "narrative", "narrative_extraction")))
     steps.append(F.when(
@@ -144,7 +153,7 @@ def extract_location(
     df = once(df, _hit=F.coalesce(*steps, hit(F.lit("UNKNOWN LOCATION"), "none", "unknown")))
     return df.withColumns({
         "place": F.col("_hit.place"), "place_field": F.col("_hit.field"), "place_method": F.col("_hit.method"),
-    }).drop("_loc", "_text", "_dep", "_hit", *[f"_m{i}" for i in range(len(metadata))])
+    }).drop("_loc", "_text", "_dep", "_found", "_phrase", "_hit", *[f"_m{i}" for i in range(len(metadata))])
 
 
 def _first_of(text: Column, low: Column, patterns: Sequence[str]) -> Column:
