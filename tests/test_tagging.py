@@ -96,3 +96,12 @@ def test_precursors_concepts_temporal_and_failures(spark):
     assert g.failure_phrases(df, "id", "t").first()["phrases"] == ["Gas testing not performed", "Hot work without gas testing"]
     none = g.failure_phrases(spark.createDataFrame([(1, "fine")], "id int, t string"), "id", "t").first()["phrases"]
     assert none == ["None detected"]
+
+
+def test_contexts_come_from_one_search_and_marks_in_a_text_do_no_harm(spark):
+    told = ["No crane was used", "The crane was parked nearby", "a\u0001b no crane\u0002", "a\u0001 the crane\u0002 swung"]
+    df = spark.createDataFrame(list(enumerate(told)), "id int, t string")
+    out = g.tag_rules(df, "id", {"description": "t"}, {"Lifting": ("crane",)})
+    assert sorted((r.id, r.match_type) for r in out.collect()) == [(1, "incidental"), (3, "direct_event")]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert f"{g.MARKS[0]}$1{g.MARKS[1]}$2{g.MARKS[1]}$3{g.MARKS[0]}" in plan

@@ -17,6 +17,7 @@ from wardline.plans.scale import once
 from wardline.rules import tagging as fixed
 
 SEP = "\u0001"
+MARKS = ("\u0001", "\u0002")  # around an occurrence and between its parts
 INNER = r"[^.?!;\n]"
 
 
@@ -78,9 +79,15 @@ def _occurrences(text: Column, low: Column, in_context: Column, table: Column, f
             F.lit("(?iU)(?="), word, F.lit(rf")(?<=((?:^|[.?!;\n]){INNER}{{0,59}}|{INNER}{{60}}))("), word,
             F.lit(rf")(?=({INNER}{{0,60}}))"),
         )
-        parts = F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(i)) for i in (1, 2, 3)])
-        return F.transform(parts, lambda p: row(k, p["1"], _context(
-            F.regexp_replace(p["0"], r"^[.?!;\n]", ""), p["1"], p["2"], k["1"], k["3"], field
+        # one pass marks each occurrence with its context; a text that holds such marks itself is searched once a part
+        marked = F.regexp_replace(text, pattern, F.lit(f"{MARKS[0]}$1{MARKS[1]}$2{MARKS[1]}$3{MARKS[0]}"))
+        cut = F.filter(F.split(marked, MARKS[0]), lambda _, i: i % 2 == 1)
+        single = F.transform(cut, lambda x: F.split(x, MARKS[1]))
+        apart = F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(i)) for i in (1, 2, 3)])
+        apart = F.transform(apart, lambda p: F.array(p["0"], p["1"], p["2"]))
+        parts = F.when(text.rlike(f"[{''.join(MARKS)}]"), apart).otherwise(single)
+        return F.transform(parts, lambda p: row(k, p[1], _context(
+            F.regexp_replace(p[0], r"^[.?!;\n]", ""), p[1], p[2], k["1"], k["3"], field
         )))
 
     return F.flatten(
