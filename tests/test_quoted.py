@@ -84,3 +84,19 @@ def test_empty_folder_columns_and_separators(spark, tmp_path):
 def test_states_of_a_line(line, outside, inside):
     state = end_state()
     assert (state(line.encode(), False), state(line.encode(), True)) == (outside, inside)
+
+
+def test_lines_are_not_dealt_out_to_meet_their_range_or_header(spark, tmp_path):
+    """States of ranges and headers come to the lines: only lines of records with line ends are shuffled."""
+    (tmp_path / "a.csv").write_text('id,name\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "b.csv").write_text("name,id\ny,3\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if tables were large
+    try:
+        found = read_csv_split(spark, str(tmp_path), ["id", "name"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert as_rows(found, ["id", "name"]) == [("1", "two\nlines"), ("2", "x"), ("3", "y")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [file" in plan and "SortMergeJoin [file#" in plan  # the sizes of records alone are joined by shuffles
+    assert "SortMergeJoin [file" not in "".join(x for x in plan.splitlines() if "block" in x.split("],")[0])

@@ -123,7 +123,8 @@ def block_states(lines: DataFrame) -> DataFrame:
 
 def records(lines: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(file, record, text, bad) from numbered lines; a record over ``longest`` bytes gives its lines, each marked bad."""
-    placed = lines.join(block_states(lines), ["file", "block"])
+    # one row per range of bytes: sent to the lines, which stay where they are
+    placed = lines.join(F.broadcast(block_states(lines)), ["file", "block"])
     inside = F.col("inside") == 1
     placed = placed.select(
         "file", "block", "at", "line", "utf8",
@@ -178,7 +179,7 @@ def read_csv_split(
     first = first.groupBy("file").agg(F.min(F.struct("record", "text")).alias("h")).select("file", F.col("h.record").alias("top"), F.col("h.text").alias("head"))
     names = {h: [c.strip() for c in next(csv.reader([h], delimiter=sep))] for (h,) in first.select("head").distinct().collect()}
     wanted = list(columns or dict.fromkeys(c for h in sorted(names) for c in names[h]))
-    below = rows.join(first, "file").filter(F.col("record") > F.col("top"))
+    below = rows.join(F.broadcast(first), "file").filter(F.col("record") > F.col("top"))
     if not names:
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*wanted, BAD]]))
     return below.select(F.inline(_cells(F.col("head"), names, wanted, sep)))
