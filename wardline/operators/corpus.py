@@ -89,18 +89,17 @@ def template_phrases(
     """
     w = F.col("words")
     n = F.size(w)
-    edge = lambda kind, words: F.when(
-        n >= 4, F.array(F.struct(F.lit(kind).alias("kind"), F.array_join(words, " ").alias("phrase")))
-    ).otherwise(F.array().cast("array<struct<kind:string,phrase:string>>"))
-    runs = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(1), n - 2),
-            lambda i: F.struct(F.lit("trigram").alias("kind"), F.array_join(F.slice(w, i, 3), " ").alias("phrase")),
-        ),
-    ).otherwise(F.array().cast("array<struct<kind:string,phrase:string>>"))
-    phrases = sentence_words(df, text).select(
-        F.inline(F.concat(edge("prefix", F.slice(w, 1, 4)), edge("suffix", F.slice(w, -4, 4)), runs))
+    none = F.array().cast("array<struct<kind:string,a:string,b:string,c:string,d:string>>")
+    edge = lambda kind, at: F.struct(F.lit(kind).alias("kind"), *[F.element_at(w, at + i).alias(x) for i, x in enumerate("abcd")])
+    edges = F.when(n >= 4, F.array(edge("prefix", 1), edge("suffix", -4))).otherwise(none)
+    # words are only laid side by side here: a function called for each run would be interpreted
+    runs = F.when(n >= 3, F.arrays_zip(
+        F.array_repeat(F.lit("trigram"), n - 2).alias("kind"),
+        *[F.slice(w, F.lit(i + 1), n - 2).alias(x) for i, x in enumerate("abc")],
+        F.array_repeat(F.lit(None).cast("string"), n - 2).alias("d"),
+    ).cast("array<struct<kind:string,a:string,b:string,c:string,d:string>>")).otherwise(none)
+    phrases = sentence_words(df, text).select(F.inline(F.concat(edges, runs))).select(
+        "kind", F.concat_ws(" ", "a", "b", "c", "d").alias("phrase")
     )
     counts = phrases.groupBy("kind", "phrase").agg(F.count(F.lit(1)).alias("n"))
     enough = counts.filter(F.col("n") > F.when(F.col("kind") == "trigram", min_gram).otherwise(min_edge))
