@@ -175,6 +175,81 @@ def test_probabilities_add_up_to_one():
         assert abs(total - 1) < 1e-4
 
 
+def planted(rng, words=400):
+    """A model with trees over words of few slots and many counts, and those words as columns of a chunk."""
+    head = [(b"w%d" % i, 5000 - i) for i in range(maxent.WIDTH * maxent.HEAD_CLASSES)]
+    counts = np.sort(np.concatenate([rng.integers(1, 9, words - 40), rng.integers(9, 3000, 40)]))
+    shape, names = rng.integers(0, maxent.SHAPES, words), (rng.integers(0, 1 << 20, words) * maxent.SLOTS + rng.integers(0, 60, words)).astype(np.uint32)
+    bounds = maxent.bin_bounds(3000)
+    kind = (np.searchsorted(bounds, counts, side="right") - 1) * maxent.SHAPES + shape
+    held, tokens = np.zeros((maxent.BINS * maxent.SHAPES, maxent.SLOTS)), np.zeros((maxent.BINS * maxent.SHAPES, maxent.SLOTS))
+    np.add.at(held, (kind, names % maxent.SLOTS), 1)
+    np.add.at(tokens, (kind, names % maxent.SLOTS), counts)
+    met: Counter = Counter()
+    ranks = np.zeros(words, np.int32)
+    for i, key in enumerate(zip(names % maxent.SLOTS, shape)):
+        ranks[i], met[key] = met[key], met[key] + 1
+    model = maxent.Model(10**6, 1364, head, bounds, tokens.sum(1), np.append(tokens.sum(1), 100.0))
+    model.plant(held, tokens, dict(Counter(zip(counts.tolist(), shape.tolist()))))
+    return model, kind, (counts, shape, np.full(words, -1), names, ranks)
+
+
+def test_words_of_a_class_add_up_to_one_in_every_context():
+    rng = np.random.default_rng(5)
+    model, kind, words = planted(rng)
+    paths = model.paths(*words)
+    ids = np.arange(len(kind))
+
+    def chances(features):
+        of, side, _, odds = model.steps(paths, ids, np.repeat(features[:, None], len(ids), 1))
+        return np.exp(-np.bincount(of, np.logaddexp(0, np.where(side, -odds, odds)), len(ids)))
+
+    contexts = model.features(np.array([7, 8, 9], np.uint32), np.arange(3)).T
+    flat = [chances(f) for f in contexts]
+    share = np.exp(model.in_tail(words[0], words[1]))
+    assert np.array_equal(flat[0], flat[1]) and abs(np.log(flat[0] / share)).max() < 0.8
+    assert np.allclose(flat[0][words[0] == 1], share[words[0] == 1], rtol=1e-4)
+    model.weights[2][:] = rng.normal(0, 1, model.weights[2].shape)
+    for at in contexts:
+        p = chances(at)
+        assert np.allclose(np.bincount(kind, p)[np.unique(kind)], 1, atol=1e-4) and abs(np.log(p / flat[0])).max() > 1
+
+
+def test_rare_words_are_learnt_from_what_stands_before(spark):
+    """Forty rare words, each after its own frequent word: the one before tells which of the class it is."""
+    rng = random.Random(9)
+    pairs = [(f"a{i}", f"pair{i}") for i in range(40)]
+    rows = []
+    for i in range(1400):
+        rows.append((i, " ".join(f"{a} {b}" if rng.random() < 0.5 else a for a, b in rng.sample(pairs, 10)), "en", "s", 1, "z", 2, "w"))
+    rows += [(i, " ".join(f"fill{k}" for k in range(300)), "en", "s", 1, "z", 2, "w") for i in range(1400, 3000)]
+    asked = iter(i for i in range(5000, 9000) if held(i))
+    own, other = ([(next(asked), f"a{i} pair{(i + k) % 40}", "en", "s", 1, "z", 2, "w") for i in range(40)] for k in (0, 1))
+    found = maxent.score(spark.createDataFrame(rows + own + other, SCHEMA).coalesce(2)).filter("doc_id >= 5000").collect()
+    mean = lambda part: sum(r.score for r in found if r.doc_id in {x[0] for x in part}) / 40
+    assert mean(own) > mean(other) + 0.7
+
+
+def test_numbers_of_words_do_not_depend_on_the_order_of_rows(monkeypatch):
+    words = [b"b", b"a", b"\xc3\xa9", b"x", b"a", b"b", b"none"]
+    table = pa.table({
+        "chunk": pa.array([1, 1, 1, 2, 2, 3, 3], pa.int64()), "place": pa.array([0, 1, 2, 0, 1, 0, 1], pa.int32()), "words": pa.array(words, pa.binary()),
+        "n": pa.array([1, 1, 4, 5, 1, 1, 0], pa.int64()), "slot": pa.array([6] * 7, pa.int32()),
+    })
+
+    def numbers(t):
+        out = [r for b in maxent.number(iter(t.to_batches(max_chunksize=2))) for r in b.to_pylist()]
+        return {r["chunk"]: maxent.open_block(r["block"]).tolist() for r in out if r["block"]}, [r for r in out if not r["block"]]
+
+    blocks, rest = numbers(table)
+    assert blocks == {1: [[0, 1, 2], [2, 2, 4], [0, 1, 0]], 2: [[0, 1], [5, 2], [2, 1]], 3: [[0, 1], [2, 0], [0, 0]]}
+    assert [(r["word"], r["count"]) for r in rest if r["word"]] == [(b"x", 5), (b"\xc3\xa9", 4), (b"a", 2), (b"b", 2)]
+    assert sorted((r["slot"], r["shape"], r["count"], r["words"]) for r in rest if r["words"]) == [(6, 0, 2, 2), (6, 0, 5, 1), (6, 1, 4, 1)]
+    again = numbers(table.take([6, 4, 2, 0, 1, 3, 5]))
+    assert again == (blocks, rest)
+    assert list(maxent.number(iter([]))) == []
+
+
 def test_learning_lowers_the_loss():
     rng = np.random.default_rng(3)
     model = maxent.Model(100, 64, [(b"%d" % i, 10) for i in range(maxent.WIDTH * maxent.HEAD_CLASSES)], maxent.bin_bounds(10), np.zeros(maxent.BINS * maxent.SHAPES), np.zeros(maxent.BINS * maxent.SHAPES + 1))
